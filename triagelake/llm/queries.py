@@ -6,8 +6,24 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import media, mixing, rules
-from .common import documents
+from . import chat, lm, media, mixing, packing, quality_model, rules, simhash, tokens
+from .common import documents, table
+
+
+def op1_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.simhash_query(documents(spark, sf_dir))
+
+
+def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_model.classifier_query(documents(spark, sf_dir), table(spark, sf_dir, "labels"))
+
+
+def op4_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.chat_query(spark, table(spark, sf_dir, "conversations"))
+
+
+def op5_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.score_documents(documents(spark, sf_dir))
 
 
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -18,11 +34,30 @@ def op7_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.store_and_sniff(documents(spark, sf_dir))
 
 
+def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokens.count_tokens(documents(spark, sf_dir))
+
+
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixing_query(documents(spark, sf_dir))
 
 
+def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(documents(spark, sf_dir))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op6_quality_rules, op7_media_columns, op9_mixing)
+    f.__name__: f
+    for f in (
+        op1_simhash_near_dedup,
+        op3_quality_classifier,
+        op4_chat_formatting,
+        op5_lm_scoring,
+        op6_quality_rules,
+        op7_media_columns,
+        op8_token_counts,
+        op9_mixing,
+        op10_packing,
+    )
 }
-ORACLE = {"op6_quality_rules": rules.ORACLE, "op9_mixing": mixing.ORACLE}
+ORACLE = {"op4_chat_formatting": chat.ORACLE, "op6_quality_rules": rules.ORACLE, "op9_mixing": mixing.ORACLE}
