@@ -1,12 +1,11 @@
-"""What the operators of this package share: table readers, lineage cuts and Arrow mapping."""
+"""What the operators of this package share: table readers, lineage cuts and texts of Arrow batches."""
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 #: A word is a run of anything but space, tab, line feed, vertical tab, form feed and carriage return.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -21,36 +20,21 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents")
 
 
-def cut(df: DataFrame, eager: bool = True) -> DataFrame:
-    """Checkpoint ``df`` in the shared folder, so that lost executors cost no recomputation of what lies before.
+def shared_folder(spark: SparkSession) -> str:
+    """The session's ``spark.checkpoint.dir``; only where that is unset (tests, notebooks) a folder beside the warehouse."""
+    beside = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "-checkpoints"
+    return (spark.conf.get("spark.checkpoint.dir", beside) or beside).rstrip("/")
+
 
-    The folder is the session's ``spark.checkpoint.dir``; only where that is unset (tests, notebooks) is one made
-    beside the warehouse, which every executor shares as well.
-    """
-    spark = df.sparkSession
-    sc = spark.sparkContext
+def cut(df: DataFrame, eager: bool = True) -> DataFrame:
+    """Checkpoint ``df`` in the shared folder, so that lost executors cost no recomputation of what lies before."""
+    sc = df.sparkSession.sparkContext
     if not sc.getCheckpointDir():
-        own = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "-checkpoints"
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", own) or own)
+        sc.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint(eager=eager)
 
 
-def by_batch(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str) -> DataFrame:
-    """Map Arrow batches one by one; a batch is all that a task holds."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows:
-                yield fn(batch)
-
-    return df.mapInArrow(run, schema)
-
-
 def texts_of(batch: pa.RecordBatch, name: str = "text") -> Iterator[str]:
     """The batch's texts one at a time, null as empty."""
     for x in batch.column(name):
         yield x.as_py() or ""
-
-
-def key_text(column: str = "doc_id") -> F.Column:
-    return F.coalesce(F.col(column).cast("string"), F.lit(""))

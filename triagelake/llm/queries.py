@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, lm, media, mixing, packing, quality_model, rules, simhash, tokens
+from . import chat, lm, media, mixing, packing, quality_model, rules, simhash, suffix, tokens
 from .common import documents, table
 
 
@@ -14,6 +14,10 @@ def op1_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.simhash_query(documents(spark, sf_dir))
 
 
+def op2_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix.dedup_query(documents(spark, sf_dir))
+
+
 def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_model.classifier_query(documents(spark, sf_dir), table(spark, sf_dir, "labels"))
 
@@ -50,6 +54,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_simhash_near_dedup,
+        op2_suffix_array_dedup,
         op3_quality_classifier,
         op4_chat_formatting,
         op5_lm_scoring,
