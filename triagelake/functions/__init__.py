@@ -1 +1 @@
-"""triagelake.functions"""
+"""Column expressions and Arrow functions on text and values."""

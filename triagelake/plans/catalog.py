@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE: dict = {}
+from . import evaluation, jobs, review, rules  # noqa: F401  they register themselves
+from .registry import COVERS, ORACLE, QUERIES
+
+__all__ = ["COVERS", "ORACLE", "QUERIES"]
