@@ -91,8 +91,9 @@ class Counter:
         if len(counts) > self.remembered:
             counts.clear()
             scores.clear()
-        for new in set(chunks) - counts.keys():
-            counts[new], scores[new] = self.best(new)
+        for new in set(chunks):
+            if new not in counts:
+                counts[new], scores[new] = self.best(new)
         return sum(map(counts.__getitem__, chunks)), sum(map(scores.__getitem__, chunks))
 
 
