@@ -251,7 +251,7 @@ def sentence_count(text: Column) -> Column:
 def reply_json(raw: Column) -> Column:
     """The JSON of a model's reply: bare, or between fences; an empty object otherwise."""
     fenced = F.regexp_extract(raw, r"(?s)```(?:json)?\s*(.*?)```", 1)
-    candidate = F.when(fenced != "", F.trim(fenced)).otherwise(F.trim(raw))
+    candidate = F.regexp_replace(F.when(fenced != "", fenced).otherwise(raw), r"^\s+|\s+$", "")
     return F.when(F.regexp_like(candidate, F.lit(r"(?s)^\{.*\}$")), candidate).otherwise("{}")
 
 

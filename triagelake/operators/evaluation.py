@@ -121,4 +121,4 @@ def cost_estimate() -> Column:
     total = F.lit(0).cast("decimal(24,2)")
     for tokens, price in parts:
         total = total + tokens.cast("decimal(18,0)") * F.lit(price).cast("decimal(4,2)")
-    return (total / F.lit(1_000_000).cast("decimal(8,0)")).cast("decimal(18,8)")
+    return total.cast("double") / 1_000_000

@@ -169,8 +169,8 @@ def cost_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     "X42",
     with_entities("ai_call_log")
-    + """SELECT call_id, CAST((greatest(prompt_tokens - cached_tokens - write_tokens, 0)::DECIMAL(18,0) * 1.00::DECIMAL(4,2) + cached_tokens::DECIMAL(18,0) * 0.10::DECIMAL(4,2)
-  + write_tokens::DECIMAL(18,0) * 1.25::DECIMAL(4,2) + completion_tokens::DECIMAL(18,0) * 5.00::DECIMAL(4,2)) / 1000000 AS DECIMAL(18,8)) AS estimated_usd FROM ai_call_log""",
+    + """SELECT call_id, CAST(greatest(prompt_tokens - cached_tokens - write_tokens, 0)::DECIMAL(18,0) * 1.00::DECIMAL(4,2) + cached_tokens::DECIMAL(18,0) * 0.10::DECIMAL(4,2)
+  + write_tokens::DECIMAL(18,0) * 1.25::DECIMAL(4,2) + completion_tokens::DECIMAL(18,0) * 5.00::DECIMAL(4,2) AS DOUBLE) / 1000000 AS estimated_usd FROM ai_call_log""",
 )
 def call_cost_estimate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return entity(spark, sf_dir, "ai_call_log").select("call_id", E.cost_estimate().alias("estimated_usd"))

@@ -87,7 +87,7 @@ def review_queue_page(spark: SparkSession, sf_dir: str) -> DataFrame:
     CASE WHEN failed_documents > 0 THEN failed_documents || ' unreadable' END, CASE WHEN truncated_documents > 0 THEN 'truncated' END, CASE WHEN dead_jobs > 0 THEN 'dead job' END) AS flags,
   CASE status WHEN 'REVIEWED' THEN 'ok' WHEN 'REJECTED' THEN 'muted' WHEN 'NEEDS_ATTENTION' THEN 'bad' WHEN 'READY_FOR_REVIEW' THEN 'info' ELSE 'busy' END AS tone,
   upper(substr(status, 1, 1)) || lower(replace(substr(status, 2), '_', ' ')) AS label,
-  CAST(CAST(round(least(greatest(max_label_confidence, 0), 1) * 100, 0) AS INT) AS VARCHAR) || '%' AS percent
+  CASE WHEN max_label_confidence IS NOT NULL THEN CAST(CAST(round(least(greatest(max_label_confidence, 0), 1) * 100, 0) AS INT) AS VARCHAR) || '%' END AS percent
 FROM queue""",
 )
 def queue_badges(spark: SparkSession, sf_dir: str) -> DataFrame:

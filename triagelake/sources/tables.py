@@ -95,14 +95,14 @@ FROM {events}""",
     ),
     "processing_metric": (
         ("events",),
-        "SELECT event_id AS metric_id, event_type AS stage, user_id AS subject_id, CAST(value * 100 AS BIGINT) AS duration_ms, ts AS recorded_at FROM {events}",
+        "SELECT event_id AS metric_id, event_type AS stage, user_id AS subject_id, CAST(floor(value * 100) AS BIGINT) AS duration_ms, ts AS recorded_at FROM {events}",
     ),
     "ai_call_log": (
         ("events",),
         """
 SELECT event_id AS call_id, event_type AS purpose, event_id + 7 AS job_id, user_id AS message_id,
-       CAST(value * 10 AS BIGINT) AS prompt_tokens, CAST(value * 6 AS BIGINT) AS cached_tokens, CAST(value AS BIGINT) AS write_tokens, CAST(value * 2 AS BIGINT) AS completion_tokens,
-       CASE WHEN value > 100 THEN 'Y' ELSE 'N' END AS repaired, CAST(value / 1000 AS DECIMAL(12,8)) AS cost_usd, CAST(value * 31 AS BIGINT) AS latency_ms, ts AS called_at, props AS response
+       CAST(floor(value * 10) AS BIGINT) AS prompt_tokens, CAST(floor(value * 6) AS BIGINT) AS cached_tokens, CAST(floor(value) AS BIGINT) AS write_tokens, CAST(floor(value * 2) AS BIGINT) AS completion_tokens,
+       CASE WHEN value > 100 THEN 'Y' ELSE 'N' END AS repaired, CAST(value / 1000 AS DECIMAL(12,8)) AS cost_usd, CAST(floor(value * 31) AS BIGINT) AS latency_ms, ts AS called_at, props AS response
 FROM {events}""",
     ),
     "audit_event": (

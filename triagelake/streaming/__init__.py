@@ -1 +1 @@
-"""triagelake.streaming"""
+"""Structured Streaming: mail arriving as files, and the job queue as keyed state."""
