@@ -6,8 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..operators import blobs as B
 from ..operators import ingest as I
-from ..sources.tables import table
+from ..sources.tables import entity, table, with_entities
+from ..streaming import mail as M
 from .registry import query
 
 
@@ -68,3 +70,49 @@ def pdf_load_failures(spark: SparkSession, sf_dir: str) -> DataFrame:
     size = F.when((k == 4) & (F.length("text") > 5000), 1000).otherwise(0)
     content = F.concat(body, F.repeat(F.lit(" "), size)).cast("binary")
     return table(spark, sf_dir, "documents").select("doc_id", I.load_failure(content, most=500).alias("failure"))
+
+
+@query(
+    "S13 J18 S12",
+    """SELECT doc_id, sha, row_number() OVER (PARTITION BY sha ORDER BY doc_id) > 1 AS already, substr(sha, 1, 2) || '/' || substr(sha, 3, 2) || '/' || sha AS path, substr(sha, 1, 2) || '/' || sha || '/p1@200.png' AS render
+FROM (SELECT doc_id, sha256(text) AS sha FROM documents)""",
+)
+def blob_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = B.stored(table(spark, sf_dir, "documents"), "doc_id", "text")
+    return found.select("doc_id", F.col("sha256").alias("sha"), "already", "path", B.render_path(F.col("sha256"), F.lit(1), 200).alias("render"))
+
+
+@query(
+    "S14 J07",
+    """WITH f AS (SELECT doc_id, sha256(text) AS sha256, source FROM documents), c AS (SELECT sha256, max(source) AS payload FROM f WHERE doc_id % 4 = 0 AND doc_id % 8 <> 0 GROUP BY 1)
+SELECT doc_id, payload, payload IS NOT NULL AS from_cache, CASE WHEN payload IS NOT NULL THEN 0 END::INT AS llm_calls FROM f LEFT JOIN c USING (sha256)""",
+)
+def parse_cache(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files = table(spark, sf_dir, "documents").select("doc_id", F.sha2("text", 256).alias("sha256"), "source")
+    status = F.when(F.col("doc_id") % 8 == 0, "PARSE_FAILED").otherwise("PARSED")
+    cache = files.where(F.col("doc_id") % 4 == 0).select("sha256", F.col("source").alias("payload"), status.alias("parse_status"))
+    return B.with_cache(files, cache).select("doc_id", "payload", "from_cache", "llm_calls")
+
+
+@query("S10 S11", "SELECT o_orderkey, least(o_orderkey % 90, 60)::BIGINT AS pages_read, CASE WHEN o_orderkey % 90 > 60 THEN 'Y' ELSE 'N' END AS truncated FROM orders")
+def page_cap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "orders").select("o_orderkey", (F.col("o_orderkey") % 90).alias("page_count"))
+    return B.page_cap(pages).select("o_orderkey", "pages_read", "truncated")
+
+
+@query("S03 S04 S05", "SELECT count(*) AS total, count(*) FILTER (turn % 2 = 1) AS unread FROM conversations")
+def mailbox_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return M.counts(table(spark, sf_dir, "conversations").withColumn("seen", F.col("turn") % 2 == 0))
+
+
+@query(
+    "W05 R16 Q07",
+    with_entities("extracted_field")
+    + """SELECT -field_id - 1 AS field_id, field_id AS supersedes, field_path, 'fixed' AS value_text, 1::DECIMAL(9,4) AS confidence, confidence AS confidence_pre_adjust,
+ CASE WHEN case_id % 2 = 0 THEN 'Reviewer override. was ' || status ELSE 'Reviewer override.' END AS adjust_reason FROM extracted_field WHERE case_id % 5 = 0 AND superseded_by IS NULL""",
+)
+def field_overrides(spark: SparkSession, sf_dir: str) -> DataFrame:
+    fields = entity(spark, sf_dir, "extracted_field").where("superseded_by is null")
+    fields = fields.withColumn("adjust_reason", F.when(F.col("case_id") % 2 == 0, F.concat(F.lit("was "), F.col("status"))))
+    wanted = fields.where(F.col("case_id") % 5 == 0).select("field_id").distinct().withColumn("new_value", F.lit("fixed"))
+    return B.overridden_fields(fields, wanted)

@@ -141,3 +141,19 @@ def unit_assembly(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = pages.withColumn("shown", L.unit_text(F.col("role"), status, F.col("text")))
     units = pages.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "shown"))).alias("pages"), F.min_by("text", "turn").alias("first"))
     return units.select("conv_id", F.array_join(F.transform("pages", lambda p: p["shown"]), "\n\n").alias("unit"), F.substring("first", 1, 40).alias("head"))
+
+
+@query(
+    "R23 R22",
+    "WITH u AS ("
+    + UNITS.format(orders="orders")
+    + """), n AS (SELECT *, has_identifiable_patient::INT + has_identifiable_reporter::INT + has_suspect_product::INT + has_adverse_event::INT AS k FROM u),
+l AS (SELECT CASE WHEN k = 4 THEN 'ICSR' WHEN k >= 2 THEN 'ICSR_INCOMPLETE' END AS golden, CASE WHEN k = 4 THEN 'ICSR' WHEN k >= 2 AND has_adverse_event THEN 'ICSR_INCOMPLETE' END AS decided FROM n)
+SELECT golden, decided, count(*) AS n FROM l GROUP BY 1, 2""",
+)
+def golden_against_rule(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The golden labels' rule beside the deciding one, which also asks for an adverse event."""
+    ruled = L.icsr_rule(spark.sql(UNITS, orders=table(spark, sf_dir, "orders")))
+    n = F.col("elements_present")
+    golden = F.when(n == 4, "ICSR").when(n >= 2, "ICSR_INCOMPLETE")
+    return ruled.groupBy(golden.alias("golden"), F.col("label").alias("decided")).agg(F.count("*").alias("n"))
