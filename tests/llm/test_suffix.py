@@ -63,30 +63,42 @@ def test_against_brute_force(spark, seed):
     assert result(spark, rows) == brute(rows)
 
 
-@pytest.mark.parametrize("hot,chunk,items", [(1, 1 << 20, 400_000), (2, 700, 50), (1000, 300, 10)])
-def test_small_limits_change_nothing(monkeypatch, hot, chunk, items):
+@pytest.mark.parametrize("hot,chunk,items,block", [(1, 1 << 20, 400_000, 1), (2, 700, 50, 3), (1000, 300, 10, 17), (3, 5000, 400, 100_000)])
+@pytest.mark.parametrize("tasks", [1, 2, 5])
+def test_small_limits_change_nothing(monkeypatch, hot, chunk, items, block, tasks):
     rows = corpus(7, 50)
-    monkeypatch.setattr(suffix, "HOT", hot)
-    monkeypatch.setattr(suffix, "CHUNK", chunk)
-    monkeypatch.setattr(suffix, "ITEMS", items)
-    assert in_memory(rows) == brute(rows)
+    for name, value in (("HOT", hot), ("CHUNK", chunk), ("ITEMS", items), ("BLOCK", block)):
+        monkeypatch.setattr(suffix, name, value)
+    assert in_memory(rows, tasks) == brute(rows)
 
 
-def in_memory(rows):
+def dealt(batches, keys, tasks):
+    """Rows sorted by keys, cut into tasks between different keys, in batches of two rows."""
+    import pyarrow as pa
+
+    table = pa.Table.from_batches(batches).sort_by([(k, "ascending") for k in keys])
+    order = list(zip(*(table.column(k).to_pylist() for k in keys[:2])))
+    cuts = [0] + sorted({next((j for j in range(len(order) * t // tasks, len(order)) if order[j] != order[j - 1]), len(order)) for t in range(1, tasks)}) + [len(order)]
+    return [table.slice(a, b - a).to_batches(max_chunksize=2) for a, b in zip(cuts, cuts[1:])]
+
+
+def in_memory(rows, tasks):
     """The stages of the operator without Spark, so that limits can be set."""
     import pyarrow as pa
 
     ties = {d: int(hashlib.md5((t or "").encode()).hexdigest()[:4], 16) for d, t in rows}
     table = [pa.RecordBatch.from_pydict({"doc": [d], "tie": [ties[d]], "text": [t]}) for d, t in rows]
-    half = [list(suffix.find_anchors(iter(table[k::2]))) for k in (0, 1)]
-    met = list(suffix.join_intervals(suffix.match_anchors(iter(half[0] + half[1]))))
+    anchors = [b for k in (0, 1) for b in suffix.find_anchors(iter(table[k::2]))]
+    met = [b for task in dealt(anchors, ["gram", "context", "doc", "at"], tasks) for b in suffix.match_anchors(iter(task))]
+    met = [b for task in dealt(met, ["doc"], 1) for b in suffix.join_intervals(iter(task))]
     rows_ = [r for b in met for r in b.to_pylist()]
     kind = pa.list_(pa.struct([("at", pa.int64()), ("value", pa.int64()), ("kind", pa.int32())]))
     wanted = {d: [r for r in rows_ if r["doc"] == d and r["kind"] != suffix.COVERED] for d, _ in rows}
     asked = pa.RecordBatch.from_pydict(
         {"doc": [d for d, _ in rows], "tie": [ties[d] for d, _ in rows], "text": [t for _, t in rows], "wanted": pa.array([wanted[d] or None for d, _ in rows], kind)}
     )
-    compared = [r for b in suffix.sort_contexts(suffix.cut_contexts(iter([asked]))) for r in b.to_pylist()]
+    contexts = [b for k in range(0, len(rows), 7) for b in suffix.cut_contexts(iter([asked.slice(k, 7)]))]
+    compared = [r for task in dealt(contexts, ["gram"], 1) for b in suffix.sort_contexts(iter(task)) for r in b.to_pylist()]
     out = {}
     for d, t in rows:
         raw = (t or "").encode()

@@ -13,9 +13,11 @@ anchor, though: the leftmost of their grams with the least hash. So the suffixes
    equal strings, which is verified byte by byte; a collision is resolved by comparing strings.
 4. Covered intervals go back to their documents, merge, and the rest of the text is kept.
 
-Hot grams: equal contexts are reduced in each chunk and need 32 bytes in step 2. A gram with more than ``HOT`` different
-contexts is dealt out window by window in step 3, by the hash of the window, and equal windows are reduced before they
-move; so no group of step 3 is larger than ``HOT`` contexts or what equal windows of different tasks make.
+Hot grams: equal contexts are reduced in each chunk, and need 32 bytes in step 2. There rows are dealt by ranges of gram and
+context, so that a gram with many contexts spreads over tasks, and stream in sorted order, so that tasks hold a block of
+rows however large their range is. A gram with more than ``HOT`` contexts, or at the end of a task's range, is dealt out
+window by window in step 3, by the hash of the window, and equal windows are reduced before they move; so no group of
+step 3 is larger than ``HOT`` contexts or what equal windows of different tasks make.
 
 Defined results: a null text is empty; a null doc_id counts as larger than any other; of rows with one doc_id and
 different texts those with the smaller position come first; of repeated rows (same id and text) all but one lose
@@ -40,6 +42,8 @@ from .common import cut
 LENGTH, GRAM = 100, 28
 #: Bytes hashed together; contexts of one gram that are sorted as one group; windows sorted at once.
 CHUNK, HOT, ITEMS = 1 << 20, 1000, 400_000
+#: Rows that a task takes up at once.
+BLOCK = 100_000
 LAST = (1 << 63) - 1
 INTERVAL = 127
 
@@ -191,11 +195,6 @@ def find_anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield finish(pieces)
 
 
-def gathered(batches: Iterator[pa.RecordBatch]) -> pa.Table | None:
-    held = [b for b in batches if b.num_rows]
-    return pa.Table.from_batches(held) if held else None
-
-
 def longs(table: pa.Table, *names: str) -> tuple[np.ndarray, ...]:
     return tuple(table.column(c).to_numpy() for c in names)
 
@@ -209,53 +208,90 @@ ROWS = "doc long, at long, value long, kind int"
 COVERED, COMPARE, DEAL = 1, 2, 3
 
 
+def blocks(batches: Iterator[pa.RecordBatch], *names: str) -> Iterator[tuple[np.ndarray, ...]]:
+    """The columns as arrays of some ``BLOCK`` rows."""
+    held, n = [], 0
+    for batch in batches:
+        held.append(batch)
+        n += batch.num_rows
+        if n >= BLOCK:
+            yield longs(pa.Table.from_batches(held), *names)
+            held, n = [], 0
+    if n:
+        yield longs(pa.Table.from_batches(held), *names)
+
+
+def whole_groups(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.Table]:
+    """Rows sorted by key in tables of some ``BLOCK`` rows that cut no group in two."""
+    held, n = [], 0
+    for batch in batches:
+        held.append(batch)
+        n += batch.num_rows
+        if n >= BLOCK:
+            table = pa.Table.from_batches(held).combine_chunks()
+            keys = table.column(key).to_numpy()
+            end = int(np.searchsorted(keys, keys[-1], "left"))
+            if end:
+                yield table.slice(0, end)
+            held = table.slice(end).combine_chunks().to_batches()
+            n = len(table) - end
+    if n:
+        yield pa.Table.from_batches(held).combine_chunks()
+
+
 def match_anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Anchors that met by gram to covered intervals and contexts to compare."""
-    table = gathered(batches)
-    if table is None:
-        return
-    gram, context, doc, at = longs(table, "gram", "context", "doc", "at")
-    del table
-    done = (at >> 23) & 127 == INTERVAL
-    if done.any():
-        start, _, _, tie = unpack(at[done])
-        zero = np.zeros(len(start), np.int64)
-        yield rows(doc[done], pack(start, zero, zero, tie), context[done], np.full(len(start), COVERED))
-    live = np.flatnonzero(~done)
-    live = live[np.argsort(gram[live], kind="stable")]
-    g = gram[live]
-    several = np.zeros(len(g), bool)
-    several[1:] = g[1:] == g[:-1]
-    several[:-1] |= several[1:]
-    live = live[several]
-    if not len(live):
-        return
-    live = live[np.lexsort((at[live], doc[live], context[live], gram[live]))]
-    gram, context, doc, at = gram[live], context[live], doc[live], at[live]
-    new_gram = np.ones(len(live), bool)
-    new_gram[1:] = gram[1:] != gram[:-1]
-    head = new_gram.copy()
-    head[1:] |= context[1:] != context[:-1]
-    twin = np.zeros(len(live), bool)  # the same place of the same row, seen twice
-    twin[1:] = ~head[1:] & (doc[1:] == doc[:-1]) & (at[1:] == at[:-1])
-    covered = ~head & ~twin
-    if covered.any():
-        place, ahead, more, tie = unpack(at[covered])
-        zero = np.zeros(len(place), np.int64)
-        yield rows(doc[covered], pack(place - ahead, zero, zero, tie), place - ahead + more + LENGTH, np.full(len(place), COVERED))
-    group = np.cumsum(new_gram) - 1
-    contexts = np.bincount(group, head)[group]
-    compare = head & (contexts > 1)
-    if compare.any():
-        yield rows(doc[compare], at[compare], gram[compare], np.where(contexts[compare] > HOT, DEAL, COMPARE))
+    """Anchors sorted by gram, context, document and place to covered intervals and contexts to compare.
+
+    Rows stream through: of each context only its head is held, and of one gram ``HOT`` heads at most. A gram at either
+    end of the task's range may go on in another task, so its contexts are dealt out there as here.
+    """
+    before = None  # the row before this block
+    pending = (np.zeros(0, np.int64),) * 3  # heads of the last gram: gram, doc, at
+    dealt = first = None
+    for gram, context, doc, at in blocks(batches, "gram", "context", "doc", "at"):
+        done = (at >> 23) & 127 == INTERVAL
+        if done.any():
+            start, _, _, tie = unpack(at[done])
+            zero = np.zeros(len(start), np.int64)
+            yield rows(doc[done], pack(start, zero, zero, tie), context[done], np.full(len(start), COVERED))
+            gram, context, doc, at = gram[~done], context[~done], doc[~done], at[~done]
+        if not len(gram):
+            continue
+        first = int(gram[0]) if first is None else first
+        last = before or (int(gram[0]) ^ 1, 0, 0, 0)
+        was_gram, was_context, was_doc, was_at = (np.concatenate(([x], c[:-1])) for x, c in zip(last, (gram, context, doc, at)))
+        before = (int(gram[-1]), int(context[-1]), int(doc[-1]), int(at[-1]))
+        head = (gram != was_gram) | (context != was_context)
+        covered = ~head & ~((doc == was_doc) & (at == was_at))  # a row seen twice covers nothing
+        if covered.any():
+            place, ahead, more, tie = unpack(at[covered])
+            zero = np.zeros(len(place), np.int64)
+            yield rows(doc[covered], pack(place - ahead, zero, zero, tie), place - ahead + more + LENGTH, np.full(len(place), COVERED))
+        gram, doc, at = (np.concatenate((p, c[head])) for p, c in zip(pending, (gram, doc, at)))
+        if not len(gram):
+            continue
+        new = np.ones(len(gram), bool)
+        new[1:] = gram[1:] != gram[:-1]
+        size = np.bincount(np.cumsum(new) - 1)[np.cumsum(new) - 1]
+        open_ = gram == gram[-1]
+        all_dealt = (gram == first) | (size > HOT) | (gram == (first if dealt is None else dealt))
+        ready = ~open_ | all_dealt
+        chosen = ready & (all_dealt | (size > 1))
+        if chosen.any():
+            yield rows(doc[chosen], at[chosen], gram[chosen], np.where(all_dealt[chosen], DEAL, COMPARE))
+        dealt = int(gram[-1]) if all_dealt[-1] else None
+        pending = tuple(c[~ready] for c in (gram, doc, at))
+    if len(pending[0]):
+        yield rows(pending[1], pending[2], pending[0], np.full(len(pending[0]), DEAL))
 
 
 def join_intervals(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Merges covered intervals of each document; rows of a document are together."""
-    table = gathered(batches)
-    if table is None:
-        return
-    doc, at, value, kind = longs(table, "doc", "at", "value", "kind")
+    """Merges covered intervals of each document; rows are sorted by document."""
+    for table in whole_groups(batches, "doc"):
+        yield from _joined(*longs(table, "doc", "at", "value", "kind"))
+
+
+def _joined(doc: np.ndarray, at: np.ndarray, value: np.ndarray, kind: np.ndarray) -> Iterator[pa.RecordBatch]:
     rest = kind != COVERED
     if rest.any():
         yield rows(doc[rest], at[rest], value[rest], kind[rest])
@@ -425,10 +461,12 @@ def _verified(owner, window, source, shift, offset, data, group) -> tuple[np.nda
 
 
 def sort_contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Contexts that met by gram to covered intervals."""
-    table = gathered(batches)
-    if table is None:
-        return
+    """Contexts sorted by gram to covered intervals."""
+    for table in whole_groups(batches, "gram"):
+        yield from _compared(table)
+
+
+def _compared(table: pa.Table) -> Iterator[pa.RecordBatch]:
     gram, doc, at, value = longs(table, "gram", "doc", "at", "value")
     texts = table.column("bytes").combine_chunks()
     done = np.flatnonzero(~texts.is_valid().to_numpy(zero_copy_only=False))
@@ -477,11 +515,12 @@ def with_intervals(docs: DataFrame, carried: list[Column]) -> DataFrame:
     """doc, tie, text and what is carried, by document, with its covered intervals (array of at, value; null if none)."""
     texts = docs.select(doc_key(), text_tie(), F.col("text"), *carried).repartition("doc")
     found = docs.select(doc_key(), text_tie(), "text").mapInArrow(find_anchors, "gram long, context long, doc long, at long")
-    met = found.repartition("gram").mapInArrow(match_anchors, ROWS)
-    met = cut(met.repartition("doc").mapInArrow(join_intervals, ROWS))
+    found = found.repartitionByRange("gram", "context").sortWithinPartitions("gram", "context", "doc", "at")
+    met = found.mapInArrow(match_anchors, ROWS).repartition("doc").sortWithinPartitions("doc")
+    met = cut(met.mapInArrow(join_intervals, ROWS))
     wanted = met.where(F.col("kind") != COVERED).groupBy("doc").agg(F.collect_list(F.struct("at", "value", "kind")).alias("wanted"))
     contexts = texts.join(wanted.hint("shuffle_hash"), "doc", "left").mapInArrow(cut_contexts, "gram long, doc long, at long, value long, bytes binary")
-    compared = contexts.repartition("gram").mapInArrow(sort_contexts, ROWS)
+    compared = contexts.repartition("gram").sortWithinPartitions("gram").mapInArrow(sort_contexts, ROWS)
     covered = met.where(F.col("kind") == COVERED).union(compared).groupBy("doc").agg(F.collect_list(F.struct("at", "value")).alias("covered"))
     return texts.join(covered.hint("shuffle_hash"), "doc", "left")
 
