@@ -63,11 +63,11 @@ def test_against_brute_force(spark, seed):
     assert result(spark, rows) == brute(rows)
 
 
-@pytest.mark.parametrize("hot,chunk,items,block", [(1, 1 << 20, 400_000, 1), (2, 700, 50, 3), (1000, 300, 10, 17), (3, 5000, 400, 100_000)])
+@pytest.mark.parametrize("hot,chunk,sorted_,block", [(1, 1 << 20, 1 << 20, 1), (2, 700, 50, 3), (1000, 300, 2000, 17), (3, 5000, 9000, 100_000)])
 @pytest.mark.parametrize("tasks", [1, 2, 5])
-def test_small_limits_change_nothing(monkeypatch, hot, chunk, items, block, tasks):
+def test_small_limits_change_nothing(monkeypatch, hot, chunk, sorted_, block, tasks):
     rows = corpus(7, 50)
-    for name, value in (("HOT", hot), ("CHUNK", chunk), ("ITEMS", items), ("BLOCK", block)):
+    for name, value in (("HOT", hot), ("CHUNK", chunk), ("SORTED", sorted_), ("BLOCK", block)):
         monkeypatch.setattr(suffix, name, value)
     assert in_memory(rows, tasks) == brute(rows)
 

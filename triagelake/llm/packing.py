@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from .common import texts_of
+from .common import released, texts_of
 
 WINDOW, END = 2048, 1
 #: A shard holds so many documents, or so many tokens if that comes first.
@@ -168,6 +168,7 @@ def pack_documents(docs: DataFrame, window: int = WINDOW, with_ids: bool = False
     kind = docs.schema["doc_id"].dataType.simpleString()
     key_type = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[kind]
 
+    @released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, keys, held, tokens, base = encoder(), [], [], 0, TaskContext.get().partitionId() << 33
         for batch in batches:

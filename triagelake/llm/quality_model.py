@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import BLANKS, texts_of
+from .common import BLANKS, released, texts_of
 
 #: The bound on labelled rows; folds by crc32 of the id; how many trees grow, and how deep.
 SAMPLE, FOLDS, HELD_OUT = 20_000, 3, 1
@@ -61,6 +61,7 @@ def with_statistics(docs: DataFrame, name: str) -> DataFrame:
     """The input's columns and a struct of statistics."""
     field = pa.struct([(s, pa.float64()) for s in STATISTICS])
 
+    @released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = np.array([statistics(t) for t in texts_of(batch)], np.float64).reshape(-1, len(STATISTICS))

@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, texts_of
+from .common import cut, released, texts_of
 
 SHINGLE, SEED, RADIUS = 4, 42, 4
 #: Bits of each of the six bands.
@@ -60,6 +60,7 @@ def fingerprint(text: str) -> int:
 def fingerprints(docs: DataFrame) -> DataFrame:
     """doc_id, text_hash, fp (signed 64 bits)."""
 
+    @released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             fps = np.array([fingerprint(t) for t in texts_of(batch)], np.uint64).view(np.int64)

@@ -37,11 +37,11 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, released
 
 LENGTH, GRAM = 100, 28
-#: Bytes hashed together; contexts of one gram that are sorted as one group; windows sorted at once.
-CHUNK, HOT, ITEMS = 1 << 20, 1000, 400_000
+#: Bytes hashed together; contexts of one gram that are sorted as one group; bytes of contexts sorted at once.
+CHUNK, HOT, SORTED = 1 << 19, 1000, 1 << 20
 #: Rows that a task takes up at once.
 BLOCK = 100_000
 LAST = (1 << 63) - 1
@@ -141,6 +141,7 @@ def merged(owner: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.nd
     return owner[first], start[first], reach[last] - base[last]
 
 
+@released
 def find_anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(doc, tie, text) to (gram, context, doc, at): anchors, and intervals covered by the same chunk."""
 
@@ -239,6 +240,7 @@ def whole_groups(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.Tab
         yield pa.Table.from_batches(held).combine_chunks()
 
 
+@released
 def match_anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Anchors sorted by gram, context, document and place to covered intervals and contexts to compare.
 
@@ -285,6 +287,7 @@ def match_anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         yield rows(pending[1], pending[2], pending[0], np.full(len(pending[0]), DEAL))
 
 
+@released
 def join_intervals(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Merges covered intervals of each document; rows are sorted by document."""
     for table in whole_groups(batches, "doc"):
@@ -309,6 +312,7 @@ def _joined(doc: np.ndarray, at: np.ndarray, value: np.ndarray, kind: np.ndarray
         yield rows(doc[names][own], pack(start, zero, zero, tie[names][own]), end, np.full(len(own), COVERED))
 
 
+@released
 def cut_contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Texts with their contexts to compare to (gram, doc, at, value, bytes); bytes are null for covered intervals."""
 
@@ -460,6 +464,7 @@ def _verified(owner, window, source, shift, offset, data, group) -> tuple[np.nda
     return owner[good], window[good]
 
 
+@released
 def sort_contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Contexts sorted by gram to covered intervals."""
     for table in whole_groups(batches, "gram"):
@@ -483,10 +488,10 @@ def _compared(table: pa.Table) -> Iterator[pa.RecordBatch]:
     new = np.ones(len(live), bool)
     new[1:] = gram[1:] != gram[:-1]
     first = np.append(np.flatnonzero(new), len(live))
-    work = np.append(0, np.cumsum(((at >> 16) & 127) + 1))[first]
+    work = np.append(0, np.cumsum(((at >> 16) & 127) + LENGTH))[first]
     k = 0
     while k < len(first) - 1:
-        to = max(k + 1, int(np.searchsorted(work, work[k] + ITEMS, "right")) - 1)
+        to = max(k + 1, int(np.searchsorted(work, work[k] + SORTED, "right")) - 1)
         part = slice(first[k], first[to])
         k = to
         if part.stop - part.start < 2:
@@ -555,6 +560,7 @@ def _pieces(batch: pa.RecordBatch, seen: set) -> Iterator[tuple[bytes, list[tupl
 def dedup_query(docs: DataFrame) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256."""
 
+    @released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set = set()
         for batch in batches:
@@ -579,6 +585,7 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     A column ``n_chars``, if there is one, is the length of the new text. A text of which nothing is left is empty.
     """
 
+    @released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set = set()
         for batch in batches:
