@@ -196,9 +196,10 @@ def payload_of(text: str | None) -> tuple[int, bytes]:
 
 
 def store(payload: bytes) -> bytes:
-    """8-bit mono samples in a WAVE container. Payloads are of even length, so no pad byte is needed."""
-    head = struct.pack("<4sI4s4sIHHIIHH4sI", b"RIFF", 36 + len(payload), b"WAVE", b"fmt ", 16, 1, 1, RATE, RATE, 1, 8, b"data", len(payload))
-    return head + payload
+    """8-bit mono samples in a WAVE container; chunks of odd length are padded, as the format asks."""
+    odd = len(payload) % 2
+    head = struct.pack("<4sI4s4sIHHIIHH4sI", b"RIFF", 36 + len(payload) + odd, b"WAVE", b"fmt ", 16, 1, 1, RATE, RATE, 1, 8, b"data", len(payload))
+    return head + payload + bytes(odd)
 
 
 def read_back(media: bytes) -> bytes:
