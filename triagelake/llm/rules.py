@@ -45,7 +45,7 @@ _LETTER = re.compile(rb"[A-Za-z\x80-\xff]")
 RULES = (
     Rule("symbols", lambda t, m: 10 * m["n_symbols"] > m["n_words"]),
     Rule("mean_word", lambda t, m: not 2 * m["n_words"] <= m["word_chars"] <= 20 * m["n_words"]),
-    Rule("duplicate_lines", lambda t, m: 10 * m["n_dup_lines"] > 3 * (t.count("\n") + 1)),
+    Rule("duplicate_lines", lambda t, m: 2 * m["n_dup_lines"] > t.count("\n") + 1),
     Rule("alphabetic_words", _alphabetic),
     Rule("capitals", lambda t, m: 2 * sum(map(len, re.findall(r"[A-Z]+", t))) > m["word_chars"]),
     Rule("distinct_words", lambda t, m: m["n_words"] >= 50 and 20 * len(set(t.encode().split())) < m["n_words"]),
@@ -166,7 +166,7 @@ m AS (
 b AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM m)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
        NOT base_failed AND 10 * n_symbols <= n_words AND word_chars BETWEEN 2 * n_words AND 20 * n_words
-       AND 10 * n_dup_lines <= 3 * len(string_split(text, chr(10)))
+       AND 2 * n_dup_lines <= len(string_split(text, chr(10)))
        AND 100 * len(list_filter(words, lambda x: regexp_matches(x, '[A-Za-z\x{80}-\x{10FFFF}]'))) >= 60 * n_words
        AND 2 * length(regexp_replace(text, '[^A-Z]', '', 'g')) <= word_chars
        AND NOT (n_words >= 50 AND 20 * len(list_distinct(words)) < n_words) AS kept
