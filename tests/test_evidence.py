@@ -34,6 +34,12 @@ def test_normalise_keeps_offsets():
     assert E.normalise("") == ("", []) and E.normalise(" \n")[0] == ""
 
 
+@settings(max_examples=200, deadline=None)
+@given(st.text(alphabet="aBß é“—ﬁ\u0301\u00a0\u2003\n\ufeffÅ①e", max_size=25))
+def test_fold_is_normalise(text):
+    assert E.fold(text) == E.normalise(text)[0]
+
+
 def test_verify():
     page = "Intro. The patient’s  FEVER rose to 39 degrees, then fell. End."
     method, score, a, b, _ = E.verify("the patient's fever rose", page)

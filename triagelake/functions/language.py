@@ -18,13 +18,12 @@ FUNCTION_WORDS = {
 
 
 def votes(words: Column, code: str) -> Column:
-    """How many of the words are function words of the language."""
-    known = F.array(*map(F.lit, FUNCTION_WORDS[code]))
-    return F.size(F.filter(words, lambda w: F.array_contains(known, w)))
+    """How many of the words (in lower case, apart by blanks) are function words of the language."""
+    return F.regexp_count(words, F.lit(rf"(?<!\S)(?:{'|'.join(FUNCTION_WORDS[code])})(?!\S)"))
 
 
 def words_of(text: Column) -> Column:
-    return F.split(F.lower(F.regexp_replace(F.coalesce(text, F.lit("")), r"[^\p{L}\s]", " ")), r"\s+")
+    return F.lower(F.regexp_replace(F.coalesce(text, F.lit("")), r"[^\p{L}\s]", " "))
 
 
 def detect(df: DataFrame, text: str) -> DataFrame:

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import SETTINGS
-from ..functions.evidence import normalise, verify
+from ..functions.evidence import fold, verify
 
 KEY_WORDS, LEAST_WORDS = 4, 6
 #: Bytes of short quotes that are searched for at once.
@@ -27,7 +27,7 @@ def normalised(df: DataFrame, key: str, text: str, name: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            flat = [normalise(t.as_py() or "")[0] for t in batch.column(1)]
+            flat = [fold(t.as_py()) for t in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(flat, pa.string())], [key, name])
 
     return df.select(key, text).mapInArrow(run, f"{key} {df.schema[key].dataType.simpleString()}, {name} string")
