@@ -74,9 +74,10 @@ def test_exact_pairs_against_search(spark):
         a = rng.randrange(max(1, len(text)))
         quotes.append((k, text[a : a + rng.randint(1, 60)].upper()))
     quotes += [(100, ""), (101, None), (102, quotes[0][1])]
-    got = {tuple(r) for r in V.exact_pairs(spark.createDataFrame(quotes, "quote_id long, quote string"), spark.createDataFrame(pages, "page_id long, text string")).collect()}
+    tables = spark.createDataFrame(quotes, "quote_id long, quote string"), spark.createDataFrame(pages, "page_id long, text string")
     want = {(q, p) for q, quote in quotes for p, page in pages if E.normalise(quote)[0] and E.normalise(quote)[0] in E.normalise(page)[0]}
-    assert got == want
+    for block_bytes in (1 << 20, 200):
+        assert {tuple(r) for r in V.exact_pairs(*tables, block_bytes).collect()} == want
 
 
 def test_best_page(spark):

@@ -199,7 +199,7 @@ def content_weight(text: Column) -> Column:
 def judgeable(text: Column) -> Column:
     """Whether a language may be told at all: long enough, three words, and prose; scripts without blanks are excused."""
     bare = F.trim(F.coalesce(text, F.lit("")))
-    words = F.size(F.filter(F.split(bare, r"\s+"), lambda w: w != ""))
+    words = F.regexp_count(bare, F.lit(r"\S+"))
     return (F.length(bare) >= SETTINGS.lang_min_chars) & (has_cjk(bare) | ((words >= 3) & is_prose(bare)))
 
 

@@ -38,32 +38,37 @@ def _keys(words: Column, first: Column | int, count: Column | int) -> Column:
     return F.transform(at, lambda k: F.xxhash64(F.array_join(F.slice(words, k + first + 1, F.lit(KEY_WORDS)), " ")))
 
 
-def exact_pairs(quotes: DataFrame, pages: DataFrame) -> DataFrame:
-    """(quote_id, quote) and (page_id, text) to (quote_id, page_id) where the normalised quote occurs in the page."""
+def exact_pairs(quotes: DataFrame, pages: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """(quote_id, quote) and (page_id, text) to (quote_id, page_id) where the normalised quote occurs in the page.
+
+    Quotes that fit one block altogether are searched for in one pass over the pages; beyond that long quotes join by key.
+    """
     q = normalised(quotes, "quote_id", "quote", "needle").where("needle != ''")
+    p = normalised(pages, "page_id", "text", "hay")
+    if _bytes(q) <= block_bytes:
+        return _automaton_pairs(q, p)
     q = q.withColumn("words", F.split("needle", " "))
-    p = normalised(pages, "page_id", "text", "hay").withColumn("words", F.split("hay", " "))
+    p = p.withColumn("words", F.split("hay", " "))
     long = q.where(F.size("words") >= LEAST_WORDS).select("quote_id", "needle", F.element_at(_keys(F.col("words"), 1, F.lit(1)), 1).alias("key"))
     keyed = p.select("page_id", F.explode(F.array_distinct(_keys(F.col("words"), 0, F.size("words") - KEY_WORDS + 1))).alias("key"))
     candidates = keyed.join(long, "key").select("quote_id", "page_id", "needle").distinct()
     found = candidates.join(p.select("page_id", "hay"), "page_id").where(F.contains("hay", "needle")).select("quote_id", "page_id")
-    return found.union(short_pairs(q.where(F.size("words") < LEAST_WORDS), p))
+    short = q.where(F.size("words") < LEAST_WORDS).select("quote_id", "needle")
+    blocks = _bytes(short) // max(1, block_bytes) + 1
+    for block in range(blocks):
+        found = found.union(_automaton_pairs(short.where(F.pmod(F.xxhash64("needle"), F.lit(blocks)) == block), p))
+    return found
+
 
+def _bytes(quotes: DataFrame) -> int:
+    return quotes.agg(F.coalesce(F.sum(F.octet_length("needle")), F.lit(0))).first()[0]
 
-def short_pairs(quotes: DataFrame, pages: DataFrame) -> DataFrame:
-    """Quotes of a few words against all pages, by automata over blocks of quotes that fit a bound."""
-    sized = quotes.select("quote_id", "needle", F.octet_length("needle").alias("n"))
-    total = sized.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    kind = quotes.schema["quote_id"].dataType.simpleString()
-    out = quotes.sparkSession.createDataFrame([], f"quote_id {kind}, page_id {pages.schema['page_id'].dataType.simpleString()}")
-    blocks = int(total) // BLOCK_BYTES + 1
-    for block in range(blocks if total else 0):
-        mine = [tuple(r) for r in sized.where(F.pmod(F.xxhash64("needle"), F.lit(blocks)) == block).select("quote_id", "needle").collect()]
-        out = out.union(_automaton_pairs(mine, pages, kind))
-    return out
 
+def _automaton_pairs(found_quotes: DataFrame, pages: DataFrame) -> DataFrame:
+    """A block of quotes, of bounded size, against all pages."""
+    quotes = [tuple(r) for r in found_quotes.select("quote_id", "needle").collect()]
+    kind = found_quotes.schema["quote_id"].dataType.simpleString()
 
-def _automaton_pairs(quotes: list[tuple], pages: DataFrame, kind: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import ahocorasick
 
