@@ -52,10 +52,17 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Applies all stages to documents; what each but the last returns is written to the shared folder and read again."""
-    docs = common.documents(spark, sf_dir)
+    """Applies all stages to documents.
+
+    What each stage but the last returns is written to the shared folder and read again; a table goes once the next
+    stage's is written. The last one stays, as the result reads it.
+    """
+    docs, before = common.documents(spark, sf_dir), None
     folder = f"{common.shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
     for name, stage in STAGES[:-1]:
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
         docs = spark.read.parquet(f"{folder}/{name}")
+        if before:
+            common.drop_table(spark, before)
+        before = f"{folder}/{name}"
     return STAGES[-1][1](spark, docs, sf_dir)
