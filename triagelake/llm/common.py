@@ -42,6 +42,12 @@ def texts_of(batch: pa.RecordBatch, name: str = "text") -> Iterator[str]:
         yield x.as_py() or ""
 
 
+def drop_table(spark: SparkSession, path: str) -> None:
+    """Deletes a table that nothing reads any more, in whatever store it lies."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def released(task: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable:
     """Gives back to the system what a task's arrays have left free, as the Python worker lives on for other tasks."""
 
