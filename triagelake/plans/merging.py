@@ -33,8 +33,8 @@ def merged_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return M.merged(facts, ["case_id", "field_path"], ["field_id"])
 
 
-VALUES = """SELECT l_orderkey * 10 + l_linenumber AS id, l_partkey, l_suppkey, CASE l_partkey % 5 WHEN 0 THEN '' WHEN 1 THEN 'Dr Aoife Whitfield' WHEN 2 THEN 'chronic kidney disease stage 3' WHEN 3 THEN '58 years' ELSE 'female' END AS expected,
- CASE l_suppkey % 7 WHEN 0 THEN 'Aoife Whitfield' WHEN 1 THEN 'stage 3 chronic kidney disease' WHEN 2 THEN '58 y.o.' WHEN 3 THEN 'male' WHEN 4 THEN 'FEMALE!' WHEN 5 THEN NULL ELSE 'kidney failure' END AS value FROM {lineitem}"""
+VALUES = """SELECT l_orderkey * 10 + l_linenumber AS id, l_partkey, l_suppkey, CASE l_partkey % 5 WHEN 0 THEN '' WHEN 1 THEN 'Dr Jane Example' WHEN 2 THEN 'acute renal failure grade 2' WHEN 3 THEN '58 years' ELSE 'female' END AS expected,
+ CASE l_suppkey % 7 WHEN 0 THEN 'Jane Example' WHEN 1 THEN 'grade 2 acute renal failure' WHEN 2 THEN '58 y.o.' WHEN 3 THEN 'male' WHEN 4 THEN 'FEMALE!' WHEN 5 THEN NULL ELSE 'renal trouble' END AS value FROM {lineitem}"""
 
 
 @query(
