@@ -179,14 +179,19 @@ def links(fps: DataFrame, radius: int = RADIUS) -> DataFrame:
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """(node, root) for every node of the edges (a, b) but roots; the root is the least node of its component."""
+    """(node, root) for every node of the edges (a, b) but roots; the root is the least node of its component.
+
+    A hub's edges may be a third of all. Its least neighbour is pre-aggregated and written, so that the join of edges with
+    it is between two plain exchanges, whose large partitions Spark splits.
+    """
     edges = cut(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u != v").distinct())
     state = None
     while True:
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        least = cut(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")))
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
+        large = cut(large)
+        least = cut(large.groupBy("u").agg(F.min("v").alias("m")))
         small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").union(least.select("u", F.col("m").alias("v")))
         edges = cut(small.distinct())
         now = tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
@@ -201,7 +206,9 @@ def grouped(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     classes = fps.groupBy("fp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("void"), "doc_id", "text_hash")).alias("first"))
     roots = components(links(classes.select("fp"), radius))
     rooted = classes.join(roots, classes["fp"] == roots["node"], "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
-    rooted = rooted.groupBy("root").agg(F.min("first").alias("first")).join(rooted.select("root", F.col("fp").alias("key")), "root")
+    rooted = cut(rooted)
+    firsts = cut(rooted.groupBy("root").agg(F.min("first").alias("first")))
+    rooted = firsts.join(rooted.select("root", F.col("fp").alias("key")), "root")
     return fps.join(rooted, fps["fp"] == rooted["key"]).select(
         "doc_id", "text_hash", "fp", F.col("first.doc_id").alias("component_id"), F.col("first.text_hash").alias("first_hash")
     )
