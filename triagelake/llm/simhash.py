@@ -19,7 +19,7 @@ result. Only doc_id and text are read, so other columns can't clash.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -200,11 +200,10 @@ def components(edges: DataFrame) -> DataFrame:
         state = now
 
 
-def grouped(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """doc_id, text_hash, fp, component_id, first_hash: the component's first document is (component_id, first_hash)."""
-    fps = cut(fingerprints(docs))
+def joined(fps: DataFrame, find: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """Rows (doc_id, text_hash, fp) with their components; ``find`` gives the edges between classes (fp, first)."""
     classes = fps.groupBy("fp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("void"), "doc_id", "text_hash")).alias("first"))
-    roots = components(links(classes.select("fp"), radius))
+    roots = components(find(classes))
     rooted = classes.join(roots, classes["fp"] == roots["node"], "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
     rooted = cut(rooted)
     firsts = cut(rooted.groupBy("root").agg(F.min("first").alias("first")))
@@ -214,6 +213,11 @@ def grouped(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     )
 
 
+def grouped(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
+    """doc_id, text_hash, fp, component_id, first_hash: the component's first document is (component_id, first_hash)."""
+    return joined(cut(fingerprints(docs)), lambda classes: links(classes.select("fp"), radius))
+
+
 def simhash_query(docs: DataFrame) -> DataFrame:
     """doc_id, fingerprint (16 hexadecimal digits), component_id (smallest doc_id reachable)."""
     return grouped(docs).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
@@ -221,7 +225,12 @@ def simhash_query(docs: DataFrame) -> DataFrame:
 
 def near_dedup(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     """One document of each component, its first, in the input's columns; of repeated rows one."""
-    first = grouped(docs, radius).where(F.col("doc_id").eqNullSafe(F.col("component_id")) & (F.col("text_hash") == F.col("first_hash")))
+    return firsts(docs, grouped(docs, radius))
+
+
+def firsts(docs: DataFrame, groups: DataFrame) -> DataFrame:
+    """The rows of ``docs`` that come first in their group."""
+    first = groups.where(F.col("doc_id").eqNullSafe(F.col("component_id")) & (F.col("text_hash") == F.col("first_hash")))
     first = first.select(F.col("doc_id").alias("id"), F.col("text_hash").alias("hash")).distinct()
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("doc_id").alias("id"), F.xxhash64("text").alias("hash"))
     again = Window.partitionBy("id", "hash").orderBy(F.lit(0))
