@@ -1,5 +1,7 @@
 """Exact substring removal against brute force over every string."""
 
+import collections
+import decimal
 import hashlib
 import random
 
@@ -67,17 +69,17 @@ def test_against_brute_force(spark, seed):
 @pytest.mark.parametrize("tasks", [1, 2, 5])
 def test_small_limits_change_nothing(monkeypatch, hot, chunk, sorted_, block, tasks):
     rows = corpus(7, 50)
-    for name, value in (("HOT", hot), ("CHUNK", chunk), ("SORTED", sorted_), ("BLOCK", block)):
+    for name, value in (("HOT", hot), ("CHUNK", chunk), ("SORTED", sorted_), ("BLOCK", block), ("DEALT", 40 * hot)):
         monkeypatch.setattr(suffix, name, value)
     assert in_memory(rows, tasks) == brute(rows)
 
 
-def dealt(batches, keys, tasks):
+def dealt(batches, keys, whole, tasks):
     """Rows sorted by keys, cut into tasks between different keys, in batches of two rows."""
     import pyarrow as pa
 
     table = pa.Table.from_batches(batches).sort_by([(k, "ascending") for k in keys])
-    order = list(zip(*(table.column(k).to_pylist() for k in keys[:2])))
+    order = list(zip(*(table.column(k).to_pylist() for k in keys[:whole])))
     cuts = [0] + sorted({next((j for j in range(len(order) * t // tasks, len(order)) if order[j] != order[j - 1]), len(order)) for t in range(1, tasks)}) + [len(order)]
     return [table.slice(a, b - a).to_batches(max_chunksize=2) for a, b in zip(cuts, cuts[1:])]
 
@@ -86,29 +88,52 @@ def in_memory(rows, tasks):
     """The stages of the operator without Spark, so that limits can be set."""
     import pyarrow as pa
 
-    ties = {d: int(hashlib.md5((t or "").encode()).hexdigest()[:4], 16) for d, t in rows}
-    table = [pa.RecordBatch.from_pydict({"doc": [d], "tie": [ties[d]], "text": [t]}) for d, t in rows]
+    table = [pa.RecordBatch.from_pydict({"doc": [d], "rid": [k], "text": [t]}, pa.schema([("doc", pa.int64()), ("rid", pa.int64()), ("text", pa.string())])) for k, (d, t) in enumerate(rows)]
     anchors = [b for k in (0, 1) for b in suffix.find_anchors(iter(table[k::2]))]
-    met = [b for task in dealt(anchors, ["gram", "context", "doc", "at"], tasks) for b in suffix.match_anchors(iter(task))]
-    met = [b for task in dealt(met, ["doc"], 1) for b in suffix.join_intervals(iter(task))]
+    met = [b for task in dealt(anchors, list(suffix.ANCHOR), 3, tasks) for b in suffix.match_anchors(iter(task))]
+    met = [b for task in dealt(met, ["rid"], 1, 1) for b in suffix.join_intervals(iter(task))]
     rows_ = [r for b in met for r in b.to_pylist()]
     kind = pa.list_(pa.struct([("at", pa.int64()), ("value", pa.int64()), ("kind", pa.int32())]))
-    wanted = {d: [r for r in rows_ if r["doc"] == d and r["kind"] != suffix.COVERED] for d, _ in rows}
-    asked = pa.RecordBatch.from_pydict(
-        {"doc": [d for d, _ in rows], "tie": [ties[d] for d, _ in rows], "text": [t for _, t in rows], "wanted": pa.array([wanted[d] or None for d, _ in rows], kind)}
-    )
+    wanted = [[r for r in rows_ if r["rid"] == k and r["kind"] != suffix.COVERED] or None for k in range(len(rows))]
+    asked = pa.RecordBatch.from_pydict({"doc": [d for d, _ in rows], "rid": [*range(len(rows))], "text": [t for _, t in rows], "wanted": pa.array(wanted, kind)})
     contexts = [b for k in range(0, len(rows), 7) for b in suffix.cut_contexts(iter([asked.slice(k, 7)]))]
-    compared = [r for task in dealt(contexts, ["gram"], 1) for b in suffix.sort_contexts(iter(task)) for r in b.to_pylist()]
+    compared = [r for task in dealt(contexts, ["gram"], 1, 1) for b in suffix.sort_contexts(iter(task)) for r in b.to_pylist()]
     out = {}
-    for d, t in rows:
+    for k, (_, t) in enumerate(rows):
         raw = (t or "").encode()
-        covered = [r for r in rows_ + compared if r["doc"] == d and r["kind"] == suffix.COVERED]
-        spans, removed = suffix.kept_spans(raw, ties[d], covered, set(), d, 0)
+        spans, removed = suffix.kept_spans(raw, [r for r in rows_ + compared if r["rid"] == k and r["kind"] == suffix.COVERED])
         kept = b"".join(raw[s:e] for s, e in spans)
-        out[d] = (len(raw), len(raw) - len(kept), removed, hashlib.sha256(kept).hexdigest())
+        out[k] = (len(raw), len(raw) - len(kept), removed, hashlib.sha256(kept).hexdigest())
     return out
 
 
+def multiset(spark, rows, schema):
+    got = suffix.dedup_query(spark.createDataFrame(rows, schema).coalesce(1)).collect()
+    return collections.Counter((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got)
+
+
+@pytest.mark.parametrize("key", ["null", "shared", "few", "string", "decimal"])
+def test_ids_that_are_shared_or_missing_or_no_numbers(spark, key):
+    """Rows are documents of their own, in the order of the table where ids don't tell."""
+    name = {"null": lambda k: None, "shared": lambda k: 5, "few": lambda k: [3, None, 1][k % 3], "string": lambda k: f"d{k % 9}", "decimal": lambda k: decimal.Decimal(k % 7)}[key]
+    rows = [(name(k), t) for k, (_, t) in enumerate(corpus(23, 120))]
+    kind = {"string": "string", "decimal": "decimal(5,0)"}.get(key, "long")
+    order = sorted(range(len(rows)), key=lambda k: (rows[k][0] is None, rows[k][0] or 0 if kind != "string" else rows[k][0], k))
+    want = brute([rows[k] for k in order])
+    assert multiset(spark, rows, f"doc_id {kind}, text string") == collections.Counter((rows[k][0], *want[n]) for n, k in enumerate(order))
+
+
+def test_many_rows_without_ids(spark):
+    """2,000 rows, half of them unique prose: exactly what brute force removes."""
+    rng = random.Random(9)
+    words = ["".join(rng.choice("abcdefgh") for _ in range(rng.randint(2, 7))) for _ in range(2000)]
+    unique = [" ".join(rng.choice(words) for _ in range(60)) for _ in range(1000)]
+    rows = [(None if k % 2 else k % 5, unique[k % 1000] if k < 1000 or k % 4 else unique[3]) for k in range(2000)]
+    order = sorted(range(len(rows)), key=lambda k: (rows[k][0] is None, rows[k][0] or 0, k))
+    want = brute([rows[k] for k in order])
+    assert multiset(spark, rows, SCHEMA) == collections.Counter((rows[k][0], *want[n]) for n, k in enumerate(order))
+
+
 def test_edges(spark):
     long = "x" * 50 + "".join(chr(97 + k % 23) for k in range(400))
     rows = [(3, None), (1, ""), (5, long), (5, long), (4, "a" * 99), (6, "a" * 99), (2, "b" * 100), (7, "b" * 100)]

@@ -23,9 +23,13 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The session's ``spark.checkpoint.dir``; only where that is unset (tests, notebooks) a folder beside the warehouse."""
-    beside = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "-checkpoints"
-    return (spark.conf.get("spark.checkpoint.dir", beside) or beside).rstrip("/")
+    """The session's ``spark.checkpoint.dir``; only a local session without one (tests, notebooks) gets a folder beside the warehouse."""
+    found = spark.conf.get("spark.checkpoint.dir", "")
+    if not found and spark.sparkContext.master.startswith("local") and not spark.sparkContext.master.startswith("local-cluster"):
+        found = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "-checkpoints"
+    if not found:
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    return found.rstrip("/")
 
 
 def cut(df: DataFrame, eager: bool = True) -> DataFrame:

@@ -6,24 +6,29 @@ anchor, though: the leftmost of their grams with the least hash. So the suffixes
 1. Where texts are read, prefix polynomial hashes give all gram hashes, and a sliding minimum the anchors. An anchor stands
    for the run of windows that chose it; its context is all their bytes. Equal contexts of one chunk are pre-aggregated,
    after a comparison of their bytes.
-2. Anchors meet by gram hash. Of equal contexts (128 bits of hash together) the first stays, the others are covered.
+2. Anchors meet by gram hash. Of equal contexts the first stays, the others are covered. Contexts lie in different tasks
+   here, so equality is that of a 128-bit cryptographic digest of their bytes, never of the polynomial hash.
    Only where contexts of one gram differ do single windows have to be compared.
 3. For those, contexts are cut from the texts and meet by gram. A mergesort orders the windows' suffixes; two suffixes are
    compared by binary search for their common extension on prefix hashes. Neighbours that agree on ``LENGTH`` bytes are
    equal strings, which is verified byte by byte; a collision is resolved by comparing strings.
-4. Covered intervals go back to their documents, merge, and the rest of the text is kept.
+4. Covered intervals go back to their rows, merge, and the rest of the text is kept.
 
-Hot grams: equal contexts are reduced in each chunk, and need 32 bytes in step 2. There rows are dealt by ranges of gram and
+Every row has a number of its own (``rid``, its place in the table as read) besides its document's place in the order, so
+rows that share a doc_id, or have none, are never mixed up and never meet in one task for it. The numbers are given anew
+each time the table is read: the input must give the same rows in the same order each time, as a table does.
+
+Hot grams: equal contexts are reduced in each chunk, and need 48 bytes in step 2. There rows are dealt by ranges of gram and
 context, so that a gram with many contexts spreads over tasks, and stream in sorted order, so that tasks hold a block of
 rows however large their range is. A gram with more than ``HOT`` contexts, or at the end of a task's range, is dealt out
-window by window in step 3, by the hash of the window, and equal windows are reduced before they move; so no group of
-step 3 is larger than ``HOT`` contexts or what equal windows of different tasks make.
-
-Defined results: a null text is empty; a null doc_id counts as larger than any other; of rows with one doc_id and
-different texts those with the smaller position come first; of repeated rows (same id and text) all but one lose
-everything, if ``LENGTH`` bytes long; texts shorter than that are kept whole; very long texts are read in overlapping
-pieces with the same result; an empty table gives an empty result. Extra columns are carried in one struct, whatever
-their names.
+window by window in step 3, by the hash of the window, and equal windows are reduced before they move (``DEALT`` of them
+are held); so no group of step 3 is larger than ``HOT`` contexts or what equal windows of different tasks make.
+
+Defined results: a null text is empty; a null doc_id counts as larger than any other; rows with one doc_id, or none, are
+documents of their own, earlier ones in the table first, so of repeated rows all but one lose everything, if ``LENGTH``
+bytes long; texts shorter than that are kept whole; very long texts are read in overlapping pieces with the same result;
+an empty table gives an empty result. Ids of any type that has an order will do. Extra columns are carried in one struct,
+whatever their names.
 """
 
 from __future__ import annotations
@@ -36,6 +41,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import cut, released
 
@@ -44,6 +50,8 @@ LENGTH, GRAM = 100, 28
 CHUNK, HOT, SORTED = 1 << 19, 1000, 1 << 20
 #: Rows that a task takes up at once.
 BLOCK = 100_000
+#: Windows of hot grams that a task holds before it passes them on.
+DEALT = 50_000
 LAST = (1 << 63) - 1
 INTERVAL = 127
 
@@ -76,13 +84,20 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(29))
 
 
-def pack(position: np.ndarray, ahead: np.ndarray, more: np.ndarray, tie: np.ndarray) -> np.ndarray:
-    """Position, bytes from the first window to the anchor, windows after the first, and 16 bits of the text's hash."""
-    return (position << 30) | (ahead << 23) | (more << 16) | tie
+def pack(position: np.ndarray, ahead: np.ndarray, more: np.ndarray) -> np.ndarray:
+    """Position, bytes from the first window to the anchor, and windows after the first."""
+    return (position << 14) | (ahead << 7) | more
+
 
+def unpack(at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    return at >> 14, (at >> 7) & 127, at & 127
 
-def unpack(at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    return at >> 30, (at >> 23) & 127, (at >> 16) & 127, at & 0xFFFF
+
+def digests(data: np.ndarray, lo: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """128 bits of BLAKE2b of each data[lo:lo+size], as two columns."""
+    view, digest = memoryview(data), hashlib.blake2b
+    found = b"".join([digest(view[a:b], digest_size=16).digest() for a, b in zip(lo.tolist(), (lo + size).tolist())])
+    return np.frombuffer(found, np.int64).reshape(-1, 2)
 
 
 def anchors(data: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, ...]:
@@ -143,54 +158,50 @@ def merged(owner: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.nd
 
 @released
 def find_anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(doc, tie, text) to (gram, context, doc, at): anchors, and intervals covered by the same chunk."""
+    """(doc, rid, text) to (gram, c1, c2, doc, rid, at): anchors, and intervals covered by the same chunk."""
 
     def finish(pieces: list[tuple[int, int, int, bytes]]) -> pa.RecordBatch:
         data = np.frombuffer(b"".join(p[3] for p in pieces), np.uint8)
         sizes = np.fromiter((len(p[3]) for p in pieces), np.int64, len(pieces))
         starts = np.cumsum(sizes) - sizes
+        docs, rids, moves = (np.fromiter((p[k] for p in pieces), np.int64, len(pieces)) for k in range(3))
+        moves = moves - starts
         anchor, lo, hi, gram, context = anchors(data, starts, sizes)
         piece = np.searchsorted(starts, lo, "right") - 1
-        doc = np.fromiter((p[0] for p in pieces), np.int64, len(pieces))[piece]
-        tie = np.fromiter((p[1] for p in pieces), np.int64, len(pieces))[piece]
-        shift = (np.fromiter((p[2] for p in pieces), np.int64, len(pieces)) - starts)[piece]
-        at = pack(anchor + shift, anchor - lo, hi - lo, tie)
-        order = np.lexsort((at, doc, context, gram))
-        twin = np.zeros(len(order), bool)  # the same place of the same row, seen twice
+        at = pack(anchor + moves[piece], anchor - lo, hi - lo)
+        order = np.lexsort((at, rids[piece], docs[piece], context, gram))
         again = np.zeros(len(order), bool)
         again[1:] = (gram[order][1:] == gram[order][:-1]) & (context[order][1:] == context[order][:-1])
-        twin[1:] = again[1:] & (doc[order][1:] == doc[order][:-1]) & (at[order][1:] == at[order][:-1])
-        if twin.any():
-            order, again = order[~twin], again[~twin]
         head = np.maximum.accumulate(np.where(again, 0, np.arange(len(order))))
         k, first = order[again], order[head[again]]
         k = k[same_bytes(data, data, lo[k], lo[first], hi[k] - lo[k] + LENGTH)]
-        keep = np.zeros(len(anchor), bool)
-        keep[order] = True
+        keep = np.ones(len(anchor), bool)
         keep[k] = False
         owner, s, e = merged(piece[k], lo[k], hi[k] + LENGTH)
-        own = np.fromiter((p[0] for p in pieces), np.int64, len(pieces))[owner]
-        own_tie = np.fromiter((p[1] for p in pieces), np.int64, len(pieces))[owner]
-        move = np.fromiter((p[2] for p in pieces), np.int64, len(pieces))[owner] - starts[owner]
+        digest = digests(data, lo[keep], hi[keep] - lo[keep] + LENGTH)
+        place = (anchor - lo)[keep]  # equal bytes are one context only if their anchor is in the same place
+        zero = np.zeros(len(owner), np.int64)
         columns = (
-            np.concatenate((gram[keep].view(np.int64), mixed(own.view(np.uint64) + np.uint64(1)).view(np.int64))),
-            np.concatenate((context[keep].view(np.int64), e + move)),
-            np.concatenate((doc[keep], own)),
-            np.concatenate((at[keep], pack(s + move, np.full(len(s), INTERVAL), np.zeros(len(s), np.int64), own_tie))),
+            np.concatenate((gram[keep].view(np.int64), mixed(rids[owner].view(np.uint64) + np.uint64(1)).view(np.int64))),
+            np.concatenate((digest[:, 0], e + moves[owner])),
+            np.concatenate((digest[:, 1] ^ place, zero)),
+            np.concatenate((docs[piece[keep]], docs[owner])),
+            np.concatenate((rids[piece[keep]], rids[owner])),
+            np.concatenate((at[keep], pack(s + moves[owner], np.full(len(s), INTERVAL), zero))),
         )
-        return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["gram", "context", "doc", "at"])
+        return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], list(ANCHOR))
 
     pieces, held = [], 0
     for batch in batches:
-        docs, ties = batch.column("doc").to_pylist(), batch.column("tie").to_pylist()
-        for doc, tie, text in zip(docs, ties, batch.column("text")):
+        docs, rids = batch.column("doc").to_pylist(), batch.column("rid").to_pylist()
+        for doc, rid, text in zip(docs, rids, batch.column("text")):
             raw = (text.as_py() or "").encode()
             for base in range(0, max(0, len(raw) - LENGTH + 1), CHUNK):
                 piece = raw[base : base + CHUNK + LENGTH - 1]
                 if held and held + len(piece) > CHUNK:
                     yield finish(pieces)
                     pieces, held = [], 0
-                pieces.append((doc, tie, base, piece))
+                pieces.append((doc, rid, base, piece))
                 held += len(piece)
     if pieces:
         yield finish(pieces)
@@ -200,11 +211,14 @@ def longs(table: pa.Table, *names: str) -> tuple[np.ndarray, ...]:
     return tuple(table.column(c).to_numpy() for c in names)
 
 
-def rows(doc: np.ndarray, at: np.ndarray, value: np.ndarray, kind: np.ndarray) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(doc), pa.array(at), pa.array(value), pa.array(kind.astype(np.int32))], ["doc", "at", "value", "kind"])
+def rows(doc: np.ndarray, rid: np.ndarray, at: np.ndarray, value: np.ndarray, kind: int | np.ndarray) -> pa.RecordBatch:
+    kinds = np.broadcast_to(np.asarray(kind, np.int32), len(doc)).copy()
+    return pa.RecordBatch.from_arrays([*map(pa.array, (doc, rid, at, value, kinds))], ["doc", "rid", "at", "value", "kind"])
 
 
-ROWS = "doc long, at long, value long, kind int"
+ROWS = "doc long, rid long, at long, value long, kind int"
+#: What anchors are sorted by: the gram, the context's digest in two halves, the document, the row, the place in it.
+ANCHOR = ("gram", "c1", "c2", "doc", "rid", "at")
 #: Kinds of rows: a covered interval (value: its end), a context to compare (value: its gram), one of a hot gram.
 COVERED, COMPARE, DEAL = 1, 2, 3
 
@@ -242,34 +256,35 @@ def whole_groups(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.Tab
 
 @released
 def match_anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Anchors sorted by gram, context, document and place to covered intervals and contexts to compare.
+    """Anchors sorted by gram, context, document, row and place to covered intervals and contexts to compare.
 
     Rows stream through: of each context only its head is held, and of one gram ``HOT`` heads at most. A gram at either
-    end of the task's range may go on in another task, so its contexts are dealt out there as here.
+    end of the task's range may go on in another task, so its contexts are dealt out there as here. Equal contexts lie in
+    one task, as the ranges are of whole contexts.
     """
     before = None  # the row before this block
-    pending = (np.zeros(0, np.int64),) * 3  # heads of the last gram: gram, doc, at
+    pending = (np.zeros(0, np.int64),) * 4  # heads of the last gram: gram, doc, rid, at
     dealt = first = None
-    for gram, context, doc, at in blocks(batches, "gram", "context", "doc", "at"):
-        done = (at >> 23) & 127 == INTERVAL
+    for gram, c1, c2, doc, rid, at in blocks(batches, *ANCHOR):
+        done = (at >> 7) & 127 == INTERVAL
         if done.any():
-            start, _, _, tie = unpack(at[done])
+            start, _, _ = unpack(at[done])
             zero = np.zeros(len(start), np.int64)
-            yield rows(doc[done], pack(start, zero, zero, tie), context[done], np.full(len(start), COVERED))
-            gram, context, doc, at = gram[~done], context[~done], doc[~done], at[~done]
+            yield rows(doc[done], rid[done], pack(start, zero, zero), c1[done], COVERED)
+            gram, c1, c2, doc, rid, at = (c[~done] for c in (gram, c1, c2, doc, rid, at))
         if not len(gram):
             continue
         first = int(gram[0]) if first is None else first
-        last = before or (int(gram[0]) ^ 1, 0, 0, 0)
-        was_gram, was_context, was_doc, was_at = (np.concatenate(([x], c[:-1])) for x, c in zip(last, (gram, context, doc, at)))
-        before = (int(gram[-1]), int(context[-1]), int(doc[-1]), int(at[-1]))
-        head = (gram != was_gram) | (context != was_context)
-        covered = ~head & ~((doc == was_doc) & (at == was_at))  # a row seen twice covers nothing
-        if covered.any():
-            place, ahead, more, tie = unpack(at[covered])
+        last = before or (int(gram[0]) ^ 1, 0, 0)
+        head = np.zeros(len(gram), bool)
+        for x, c in zip(last, (gram, c1, c2)):
+            head |= c != np.concatenate(([x], c[:-1]))
+        before = (int(gram[-1]), int(c1[-1]), int(c2[-1]))
+        if not head.all():
+            place, ahead, more = unpack(at[~head])
             zero = np.zeros(len(place), np.int64)
-            yield rows(doc[covered], pack(place - ahead, zero, zero, tie), place - ahead + more + LENGTH, np.full(len(place), COVERED))
-        gram, doc, at = (np.concatenate((p, c[head])) for p, c in zip(pending, (gram, doc, at)))
+            yield rows(doc[~head], rid[~head], pack(place - ahead, zero, zero), place - ahead + more + LENGTH, COVERED)
+        gram, doc, rid, at = (np.concatenate((p, c[head])) for p, c in zip(pending, (gram, doc, rid, at)))
         if not len(gram):
             continue
         new = np.ones(len(gram), bool)
@@ -280,75 +295,67 @@ def match_anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         ready = ~open_ | all_dealt
         chosen = ready & (all_dealt | (size > 1))
         if chosen.any():
-            yield rows(doc[chosen], at[chosen], gram[chosen], np.where(all_dealt[chosen], DEAL, COMPARE))
+            yield rows(doc[chosen], rid[chosen], at[chosen], gram[chosen], np.where(all_dealt[chosen], DEAL, COMPARE))
         dealt = int(gram[-1]) if all_dealt[-1] else None
-        pending = tuple(c[~ready] for c in (gram, doc, at))
+        pending = tuple(c[~ready] for c in (gram, doc, rid, at))
     if len(pending[0]):
-        yield rows(pending[1], pending[2], pending[0], np.full(len(pending[0]), DEAL))
+        yield rows(pending[1], pending[2], pending[3], pending[0], DEAL)
 
 
 @released
 def join_intervals(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Merges covered intervals of each document; rows are sorted by document."""
-    for table in whole_groups(batches, "doc"):
-        yield from _joined(*longs(table, "doc", "at", "value", "kind"))
-
-
-def _joined(doc: np.ndarray, at: np.ndarray, value: np.ndarray, kind: np.ndarray) -> Iterator[pa.RecordBatch]:
-    rest = kind != COVERED
-    if rest.any():
-        yield rows(doc[rest], at[rest], value[rest], kind[rest])
-    doc, at, value = doc[~rest], at[~rest], value[~rest]
-    if len(doc):
-        tie = at & 0xFFFF
-        order = np.lexsort((tie, doc))
-        new = np.ones(len(doc), bool)
-        new[1:] = (doc[order][1:] != doc[order][:-1]) | (tie[order][1:] != tie[order][:-1])
-        owner = np.empty(len(doc), np.int64)
-        owner[order] = np.cumsum(new) - 1
-        names = order[new]
-        own, start, end = merged(owner, at >> 30, value)
-        zero = np.zeros(len(own), np.int64)
-        yield rows(doc[names][own], pack(start, zero, zero, tie[names][own]), end, np.full(len(own), COVERED))
+    """Merges covered intervals of each row; they are sorted by row."""
+    for table in whole_groups(batches, "rid"):
+        doc, rid, at, value, kind = longs(table, "doc", "rid", "at", "value", "kind")
+        rest = kind != COVERED
+        if rest.any():
+            yield rows(doc[rest], rid[rest], at[rest], value[rest], kind[rest])
+        doc, rid, at, value = doc[~rest], rid[~rest], at[~rest], value[~rest]
+        if len(doc):
+            _, names, owner = np.unique(rid, return_index=True, return_inverse=True)
+            own, start, end = merged(owner, at >> 14, value)
+            zero = np.zeros(len(own), np.int64)
+            yield rows(doc[names][own], rid[names][own], pack(start, zero, zero), end, COVERED)
 
 
 @released
 def cut_contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Texts with their contexts to compare to (gram, doc, at, value, bytes); bytes are null for covered intervals."""
+    """Texts with their contexts to compare to (gram, doc, rid, at, value, bytes); bytes are null for covered intervals."""
 
     def out(found: list[tuple]) -> pa.RecordBatch:
-        types = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*found), types)], ["gram", "doc", "at", "value", "bytes"])
+        types = [*[pa.int64()] * 5, pa.binary()]
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*found), types)], ["gram", "doc", "rid", "at", "value", "bytes"])
 
+    def passed_on(dealt: dict) -> Iterator[tuple]:
+        for window, (doc, rid, at) in dealt.items():
+            yield (xxhash.xxh64_intdigest(window, 1) - (1 << 63), doc, rid, at, 0, window)
+        dealt.clear()
+
+    found, dealt = [], {}
     for batch in batches:
-        found, dealt = [], {}
         wanted = batch.column("wanted")
         for k in np.flatnonzero(wanted.is_valid().to_numpy(zero_copy_only=False)).tolist():
-            raw, doc, own = (batch.column("text")[k].as_py() or "").encode(), batch.column("doc")[k].as_py(), batch.column("tie")[k].as_py()
+            raw, doc, rid = (batch.column("text")[k].as_py() or "").encode(), batch.column("doc")[k].as_py(), batch.column("rid")[k].as_py()
             for row in wanted[k].as_py():
                 at, gram = row["at"], row["value"]
-                if at & 0xFFFF != own:
-                    continue
-                lo, more = (at >> 30) - ((at >> 23) & 127), (at >> 16) & 127
+                lo, more = (at >> 14) - ((at >> 7) & 127), at & 127
                 if row["kind"] == COMPARE:
-                    found.append((gram, doc, at, 0, raw[lo : lo + more + LENGTH]))
+                    found.append((gram, doc, rid, at, 0, raw[lo : lo + more + LENGTH]))
                     continue
                 for s in range(lo, lo + more + 1):
-                    window, mine = raw[s : s + LENGTH], (doc, s << 30 | own)
+                    window, mine = raw[s : s + LENGTH], (doc, rid, s << 14)
                     first = dealt.setdefault(window, mine)
                     if first != mine:
                         dealt[window], late = min(first, mine), max(first, mine)
-                        found.append((gram ^ doc, *late, (late[1] >> 30) + LENGTH, None))
-            if len(found) > 20_000:
-                yield out(found)
-                found = []
-        for window, (doc, at) in dealt.items():
-            found.append((xxhash.xxh64_intdigest(window, 1) - (1 << 63), doc, at, 0, window))
-            if len(found) > 20_000:
-                yield out(found)
-                found = []
-        if found:
-            yield out(found)
+                        found.append((gram ^ rid, *late, (late[2] >> 14) + LENGTH, None))
+                if len(dealt) > DEALT:
+                    found += passed_on(dealt)
+                if len(found) > 20_000:
+                    yield out(found)
+                    found = []
+    found += passed_on(dealt)
+    if found:
+        yield out(found)
 
 
 class Suffixes:
@@ -412,7 +419,7 @@ class Suffixes:
 
 def repeated_windows(group: np.ndarray, at: np.ndarray, offset: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(context, window) pairs that repeat an earlier context's window. Contexts are in order, earliest first, by group."""
-    _, ahead, more, _ = unpack(at)
+    _, ahead, more = unpack(at)
     owner = np.repeat(np.arange(len(at)), more + 1)
     window = np.arange(len(owner)) - np.repeat(np.cumsum(more + 1) - more - 1, more + 1)
     place = ahead[owner] - window  # of the anchor within the window: equal strings have it in the same place
@@ -472,23 +479,20 @@ def sort_contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 
 
 def _compared(table: pa.Table) -> Iterator[pa.RecordBatch]:
-    gram, doc, at, value = longs(table, "gram", "doc", "at", "value")
+    gram, doc, rid, at, value = longs(table, "gram", "doc", "rid", "at", "value")
     texts = table.column("bytes").combine_chunks()
-    done = np.flatnonzero(~texts.is_valid().to_numpy(zero_copy_only=False))
-    if len(done):
-        yield rows(doc[done], at[done], value[done], np.full(len(done), COVERED))
-    live = np.flatnonzero(texts.is_valid().to_numpy(zero_copy_only=False))
-    live = live[np.lexsort((at[live], doc[live], gram[live]))]
+    cut_ = texts.is_valid().to_numpy(zero_copy_only=False)
+    if not cut_.all():
+        yield rows(doc[~cut_], rid[~cut_], at[~cut_], value[~cut_], COVERED)
+    live = np.flatnonzero(cut_)
+    live = live[np.lexsort((at[live], rid[live], doc[live], gram[live]))]
     if not len(live):
         return
-    twin = np.zeros(len(live), bool)
-    twin[1:] = (gram[live][1:] == gram[live][:-1]) & (doc[live][1:] == doc[live][:-1]) & (at[live][1:] == at[live][:-1])
-    live = live[~twin]
-    gram, doc, at = gram[live], doc[live], at[live]
+    gram, doc, rid, at = gram[live], doc[live], rid[live], at[live]
     new = np.ones(len(live), bool)
     new[1:] = gram[1:] != gram[:-1]
     first = np.append(np.flatnonzero(new), len(live))
-    work = np.append(0, np.cumsum(((at >> 16) & 127) + LENGTH))[first]
+    work = np.append(0, np.cumsum((at & 127) + LENGTH))[first]
     k = 0
     while k < len(first) - 1:
         to = max(k + 1, int(np.searchsorted(work, work[k] + SORTED, "right")) - 1)
@@ -499,44 +503,46 @@ def _compared(table: pa.Table) -> Iterator[pa.RecordBatch]:
         chunks = texts.take(pa.array(live[part])).to_pylist()
         sizes = np.fromiter(map(len, chunks), np.int64, len(chunks))
         data = np.frombuffer(b"".join(chunks), np.uint8)
-        own_at, own_doc = at[part], doc[part]
+        own_at, own_doc, own_rid = at[part], doc[part], rid[part]
         owner, window = repeated_windows(np.cumsum(new[part]), own_at, np.cumsum(sizes) - sizes, data)
         if len(owner):
-            place, ahead, _, tie = unpack(own_at)
+            place, ahead, _ = unpack(own_at)
             own, start, end = merged(owner, (place - ahead)[owner] + window, (place - ahead)[owner] + window + LENGTH)
             zero = np.zeros(len(own), np.int64)
-            yield rows(own_doc[own], pack(start, zero, zero, tie[own]), end, np.full(len(own), COVERED))
-
-
-def doc_key() -> Column:
-    return F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("doc")
+            yield rows(own_doc[own], own_rid[own], pack(start, zero, zero), end, COVERED)
 
 
-def text_tie() -> Column:
-    return F.xxhash64("text").bitwiseAND(F.lit(0xFFFF)).alias("tie")
+def numbered(docs: DataFrame, carried: list[Column]) -> DataFrame:
+    """doc (the document's place in the order, null last), rid (the row's own number), text, and what is carried."""
+    if isinstance(docs.schema["doc_id"].dataType, T.IntegralType):
+        return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("doc"), F.monotonically_increasing_id().alias("rid"), "text", *carried)
+    ids = docs.select(F.col("doc_id").alias("known")).where("known is not null").distinct()
+    order = cut(ids.repartitionByRange("known").sortWithinPartitions("known").withColumn("doc", F.monotonically_increasing_id()))
+    rows_ = docs.select("doc_id", F.monotonically_increasing_id().alias("rid"), "text", *[c.alias(f"carried{k}") for k, c in enumerate(carried)])
+    names = [docs.select(c).columns[0] for c in carried]
+    both = rows_.join(order, F.col("doc_id") == F.col("known"), "left")
+    return both.select(F.coalesce("doc", F.lit(LAST)).alias("doc"), "rid", "text", *[F.col(f"carried{k}").alias(n) for k, n in enumerate(names)])
 
 
 def with_intervals(docs: DataFrame, carried: list[Column]) -> DataFrame:
-    """doc, tie, text and what is carried, by document, with its covered intervals (array of at, value; null if none)."""
-    texts = docs.select(doc_key(), text_tie(), F.col("text"), *carried).repartition("doc")
-    found = docs.select(doc_key(), text_tie(), "text").mapInArrow(find_anchors, "gram long, context long, doc long, at long")
-    found = found.repartitionByRange("gram", "context").sortWithinPartitions("gram", "context", "doc", "at")
-    met = found.mapInArrow(match_anchors, ROWS).repartition("doc").sortWithinPartitions("doc")
+    """doc, rid, text and what is carried, with the row's covered intervals (array of at, value; null if none)."""
+    texts = numbered(docs, carried)
+    found = numbered(docs, []).mapInArrow(find_anchors, ", ".join(f"{c} long" for c in ANCHOR))
+    found = found.repartitionByRange("gram", "c1", "c2").sortWithinPartitions(*ANCHOR)
+    met = found.mapInArrow(match_anchors, ROWS).repartition("rid").sortWithinPartitions("rid")
     met = cut(met.mapInArrow(join_intervals, ROWS))
-    wanted = met.where(F.col("kind") != COVERED).groupBy("doc").agg(F.collect_list(F.struct("at", "value", "kind")).alias("wanted"))
-    contexts = texts.join(wanted.hint("shuffle_hash"), "doc", "left").mapInArrow(cut_contexts, "gram long, doc long, at long, value long, bytes binary")
+    wanted = met.where(F.col("kind") != COVERED).groupBy("rid").agg(F.collect_list(F.struct("at", "value", "kind")).alias("wanted"))
+    schema = "gram long, doc long, rid long, at long, value long, bytes binary"
+    dealt = texts.repartition("rid")
+    contexts = dealt.join(wanted.hint("shuffle_hash"), "rid", "left").mapInArrow(cut_contexts, schema)
     compared = contexts.repartition("gram").sortWithinPartitions("gram").mapInArrow(sort_contexts, ROWS)
-    covered = met.where(F.col("kind") == COVERED).union(compared).groupBy("doc").agg(F.collect_list(F.struct("at", "value")).alias("covered"))
-    return texts.join(covered.hint("shuffle_hash"), "doc", "left")
+    covered = met.where(F.col("kind") == COVERED).union(compared).groupBy("rid").agg(F.collect_list(F.struct("at", "value")).alias("covered"))
+    return dealt.join(covered.hint("shuffle_hash"), "rid", "left")
 
 
-def kept_spans(raw: bytes, tie: int, covered: list[dict] | None, seen: set, doc: int, whole: int) -> tuple[list[tuple[int, int]], int]:
+def kept_spans(raw: bytes, covered: list[dict] | None) -> tuple[list[tuple[int, int]], int]:
     """The (start, end) pieces of the text to keep, and the number of maximal removed runs."""
-    if len(raw) >= LENGTH:
-        if (doc, whole) in seen:
-            return [], 1
-        seen.add((doc, whole))
-    spans = sorted((c["at"] >> 30, c["value"]) for c in covered or () if c["at"] & 0xFFFF == tie)
+    spans = sorted((c["at"] >> 14, c["value"]) for c in covered or ())
     kept, at, removed = [], 0, 0
     for s, e in spans:
         if s > at or not removed:
@@ -549,12 +555,10 @@ def kept_spans(raw: bytes, tie: int, covered: list[dict] | None, seen: set, doc:
     return kept, removed
 
 
-def _pieces(batch: pa.RecordBatch, seen: set) -> Iterator[tuple[bytes, list[tuple[int, int]], int]]:
-    for doc, tie, text, covered in zip(*(batch.column(c) for c in ("doc", "tie", "text", "covered"))):
+def _pieces(batch: pa.RecordBatch) -> Iterator[tuple[bytes, list[tuple[int, int]], int]]:
+    for text, covered in zip(batch.column("text"), batch.column("covered")):
         raw = (text.as_py() or "").encode()
-        doc = doc.as_py()
-        spans, removed = kept_spans(raw, tie.as_py(), covered.as_py(), seen, doc, xxhash.xxh64_intdigest(raw))
-        yield raw, spans, removed
+        yield raw, *kept_spans(raw, covered.as_py())
 
 
 def dedup_query(docs: DataFrame) -> DataFrame:
@@ -562,12 +566,11 @@ def dedup_query(docs: DataFrame) -> DataFrame:
 
     @released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set = set()
         for batch in batches:
             if not batch.num_rows:
                 continue
             found = []
-            for raw, spans, removed in _pieces(batch, seen):
+            for raw, spans, removed in _pieces(batch):
                 left = hashlib.sha256()
                 for s, e in spans:
                     left.update(raw[s:e])
@@ -587,9 +590,8 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
 
     @released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set = set()
         for batch in batches:
-            texts = [b"".join(raw[s:e] for s, e in spans).decode("utf-8", "ignore") for raw, spans, _ in _pieces(batch, seen)]
+            texts = [b"".join(raw[s:e] for s, e in spans).decode("utf-8", "ignore") for raw, spans, _ in _pieces(batch)]
             yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(texts, pa.string())], ["row", "left"])
 
     others = F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != "text"]).alias("row")
