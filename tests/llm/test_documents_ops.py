@@ -168,38 +168,77 @@ def test_classifier_on_odd_rows(spark):
 # --- language model --------------------------------------------------------------------------------------------------
 
 
-def test_lm_scores_are_sums_of_conditional_log_probabilities(spark):
+def naive_lm(rows, vocab, weights):
+    """(doc_id, tokens, score, unseen) by the definition: loops over words and plain arithmetic on the network's weights."""
+    emb, hidden, hb, o, ob = (np.asarray(w, np.float64) for w in weights)
+    texts = [(d, [w.encode() for w in re.findall(WORD, re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))]) for d, t, _ in rows]
+    uses = collections.Counter(w for _, words in texts for w in words)
+    key = lambda w: xxhash.xxh64_intdigest(w) - 2**63
+    head = {h: k + 1 for k, h in enumerate(vocab.head.tolist())}
+    mass, total, place = 0.0, sum(math.sqrt(n) for n in vocab.counts), []
+    for n in vocab.counts:
+        place.append(min(lm.HEADS - 1, int(mass * lm.HEADS / total)))
+        mass += math.sqrt(n)
+    rare = {w: zlib.crc32(w[-2:]) % lm.TAILS for w in uses if key(w) not in head}
+    of_class = collections.Counter()
+    for w, n in uses.items():
+        of_class[lm.HEADS + rare[w] if w in rare else place[head[key(w)] - 1]] += n
+    distinct = collections.Counter(rare.values())
+    out = []
+    for d, words in texts:
+        own = collections.Counter(words)
+        ids = [0, 0, *(1 + len(head) + rare[w] if w in rare else head[key(w)] for w in words), 0, 0]
+        score = 0.0
+        for k, w in enumerate(words):
+            x = np.concatenate([emb[ids[k + 2 + j]] for j in (-2, -1, 1, 2)])
+            z = np.tanh(x @ hidden + hb) @ o + ob
+            c = lm.HEADS + rare[w] if w in rare else place[head[key(w)] - 1]
+            score += z[c] - math.log(sum(math.exp(v) for v in z))
+            if w in rare:
+                score += math.log((uses[w] - own[w] + 0.05) / (of_class[c] + 0.05 * (distinct[rare[w]] + 1)))
+            else:
+                score += math.log(uses[w] / of_class[c])
+        out.append((d, len(words), score, sum(uses[w] == own[w] and w in rare for w in words)))
+    return out
+
+
+def test_lm_scores_are_sums_of_conditional_log_probabilities(spark, monkeypatch):
+    monkeypatch.setattr(lm, "CHUNK", 700)
     rows = odd_rows()
+    rows += [(700 + k, rows[k][1] + " again", "s0") for k in range(12)]
     df = frame(spark, rows)
-    vocab = lm.vocabulary(df)
-    counted = collections.Counter(w for _, t, _ in rows for w in (t or "").encode().lower().split())
-    assert set(vocab) == {w for w, _ in sorted(counted.items(), key=lambda x: (-x[1], x[0]))[: lm.WORDS]}
-    cells = collections.Counter()
-    for _, t, _ in rows:
-        ids = [0, *lm.tokens(t or "", vocab, {}).tolist(), 0]
-        cells.update((ids[k - 1] * lm.VOCABULARY + ids[k + 1]) * lm.VOCABULARY + ids[k] for k in range(1, len(ids) - 1))
-    assert {r.cell: r.n for r in lm.window_counts(df, vocab).collect()} == cells
-    keys = sorted(cells)
-    table = lm.train(np.array(keys), np.array([cells[k] for k in keys]))
-    assert np.allclose(np.exp(table).sum(axis=2), 1)
-    got = collections.Counter((r.doc_id, r.n_tokens, None if r.mean_score is None else round(r.mean_score, 3)) for r in lm.score_documents(df).collect())
-    want = collections.Counter()
-    for d, t, _ in rows:
-        at = lm.windows(lm.tokens(t or "", vocab, {}))
-        want[(d, len(at), round(float(table.ravel()[at].mean()), 3) if len(at) else None)] += 1
-    assert sum((got & want).values()) >= len(rows) - 2  # rounding at the third digit
-
-
-def test_lm_learns_order():
-    """A text that keeps to the corpus' pattern scores above its shuffle."""
-    rng = np.random.default_rng(0)
-    text = " ".join("abc"[k % 3] for k in range(900))
-    vocab = {b"a": 1, b"b": 2, b"c": 3}
-    at, n = np.unique(lm.windows(lm.tokens(text, vocab, {})), return_counts=True)
-    table = lm.train(at, n).ravel()
-    mixed = " ".join(rng.permutation(text.split()))
-    score = lambda t: table[lm.windows(lm.tokens(t, vocab, {}))].mean()
-    assert score(text) > score(mixed) + 1
+    counts = lm.cut(lm.word_counts(df))
+    vocab = lm.vocabulary(counts)
+    uses = collections.Counter(w for _, t, _ in rows for w in (t or "").encode().lower().split())
+    assert sorted(vocab.counts.astype(int).tolist()) == sorted(n for n in uses.values() if n >= lm.LEAST) and len(vocab.head) > 5
+    net = lm.trained(df, vocab, share=2)
+    got = sorted(((str(r.doc_id), r.n_tokens, r.n_unseen, r.score) for r in lm.scored(df, counts, vocab, net).collect()))
+    want = sorted((str(d), n, unseen, score) for d, n, score, unseen in naive_lm(rows, vocab, net.weights))
+    assert [g[:3] for g in got] == [w[:3] for w in want]
+    assert np.allclose([g[3] for g in got], [w[3] for w in want], rtol=1e-5, atol=1e-4)
+
+
+def test_lm_predicts_held_out_texts_better_than_frequencies(spark):
+    """Trained on some documents, the network tells the words of others from both sides."""
+    rng = random.Random(6)
+    line = lambda n: " ".join(x for _ in range(n) for x in (rng.choice(["red", "blue"]), "a b c".split()[rng.randrange(3)], "end"))
+    df = frame(spark, [(k, line(60), "s") for k in range(200)])
+    vocab = lm.vocabulary(lm.cut(lm.word_counts(df)))
+    reader = lm.Reader(vocab)
+    flat, at = lm.joined([reader.ids(line(60).encode().split()) for _ in range(20)])
+    loss = lambda net: -net.score(net.tables(), flat, at).mean()
+    assert loss(lm.trained(df, vocab, share=1)) < loss(lm.Network(vocab)) - 0.4
+
+
+def test_lm_knows_what_occurs_twice(spark):
+    """Of texts of rare words those with a twin have no word that others lack, and score higher."""
+    rng = random.Random(8)
+    odd = lambda: " ".join("".join(rng.choice("abcdefghij") for _ in range(9)) for _ in range(40))
+    once, twice = [odd() for _ in range(30)], [odd() for _ in range(10)]
+    rows = [(k, t, "s") for k, t in enumerate(once + twice + twice)]
+    got = {r.doc_id: r for r in lm.score_documents(frame(spark, rows)).collect()}
+    assert all(got[k].n_unseen == 40 and got[k].unseen_share == 1.0 for k in range(30)) and all(got[k].n_unseen == 0 for k in range(30, 50))
+    assert min(got[k].mean_score for k in range(30, 50)) > max(got[k].mean_score for k in range(30)) + 1
 
 
 def test_lm_on_an_empty_table(spark):
