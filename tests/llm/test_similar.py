@@ -3,6 +3,8 @@
 import random
 
 import corpus_pipeline
+import numpy as np
+import pyarrow as pa
 from triagelake.llm import similar
 
 
@@ -68,6 +70,34 @@ def test_a_group_of_several_blocks(spark, monkeypatch):
     assert stage(spark, rows) == want
 
 
-def test_links_by_whole_texts_only():
-    assert similar.common_counts([similar.shingles(t) for t in ("a b c d e f", "x b c d e f", "a b c d e")]).tolist() == [[2, 1, 1], [1, 2, 0], [1, 0, 1]]
+def test_bktree_pairs_against_all_pairs():
+    rng = random.Random(5)
+    sets = {k: similar.shingles(" ".join(rng.choice("abcdefgh") * 3 + str(rng.randrange(40)) for _ in range(rng.randint(1, 60)))) for k in range(40)}
+    base = similar.shingles(" ".join(f"w{k}" for k in range(200)))
+    sets |= {100 + k: np.delete(base, range(k, 20 + k)) for k in range(0, 60, 4)}
+    wide = {k: similar.wide_fingerprint(s) for k, s in sets.items()}
+    rows = [{"shard": s, "side": side, "fp": k, "root": k % 3, "wide": wide[k]} for s, of in ((1, lambda k: -1), (2, lambda k: k % 2)) for k in wide for side in [of(k)]]
+    rows.sort(key=lambda r: (r["shard"], r["side"]))
+    batches = pa.Table.from_pylist(rows).to_batches(max_chunksize=7)
+    got = {tuple(sorted(p)) for out in similar.near_pairs(iter(batches), similar.RADIUS) for p in zip(out.column("a").to_pylist(), out.column("b").to_pylist())}
+    bits = lambda a, b: (int.from_bytes(wide[a], "big") ^ int.from_bytes(wide[b], "big")).bit_count()
+    assert got == {(a, b) for a in wide for b in wide if a < b and a % 3 != b % 3 and bits(a, b) <= similar.RADIUS} and len(got) > 30
+
+
+def test_radius_holds_what_is_similar():
+    """Pairs of sets at a similarity of 0.8 differ in no more bits than the radius; unrelated ones do."""
+    rng, far = np.random.default_rng(2), []
+    for _ in range(300):
+        x = rng.integers(0, 1 << 63, 540, np.uint64)
+        a, b = (int.from_bytes(similar.wide_fingerprint(s), "big") for s in (x[:486], x[54:]))
+        assert (a ^ b).bit_count() <= similar.RADIUS
+        far.append((a ^ int.from_bytes(similar.wide_fingerprint(rng.integers(0, 1 << 63, 500, np.uint64)), "big")).bit_count())
+    assert min(far) > similar.RADIUS + 20
+
+
+def test_links_by_whole_texts_only(spark):
+    texts = ["a b c d e f", "x b c d e f", "a b c d e", " ".join(f"w{k}" for k in range(29)), " ".join(f"w{k}" for k in range(24))]
+    sets = spark.createDataFrame([(k, bytearray(similar.shingles(t).tobytes())) for k, t in enumerate(texts)], "fp long, hashes binary")
+    pairs = spark.createDataFrame([(a, b) for a in range(5) for b in range(a)], "a long, b long")
+    assert {tuple(r) for r in similar.confirmed(pairs, sets).collect()} == {(4, 3)}  # 20 of 25 shingles
     assert not len(similar.shingles(" ")) and not len(similar.keys_of(similar.shingles("")))

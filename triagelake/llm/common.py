@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import ctypes
 import functools
+import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -32,18 +33,32 @@ def shared_folder(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
-def cut(df: DataFrame, eager: bool = True) -> DataFrame:
-    """Checkpoint ``df`` in the shared folder, so that lost executors cost no recomputation of what lies before."""
-    sc = df.sparkSession.sparkContext
-    if not sc.getCheckpointDir():
-        sc.setCheckpointDir(shared_folder(df.sparkSession))
-    return df.checkpoint(eager=eager)
+def cut(df: DataFrame) -> DataFrame:
+    """``df`` written to the shared folder and read again, so that lost executors cost no recomputation of what lies before."""
+    path = f"{shared_folder(df.sparkSession)}/cut-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    found = df.sparkSession.read.schema(df.schema).parquet(path)
+    found.written_to = path
+    return found
 
 
-def texts_of(batch: pa.RecordBatch, name: str = "text") -> Iterator[str]:
-    """The batch's texts one at a time, null as empty."""
-    for x in batch.column(name):
-        yield x.as_py() or ""
+def stable(df: DataFrame) -> DataFrame:
+    """``df`` if it is a table, or columns and rows picked from one; else ``df`` written as one.
+
+    A table gives the same rows in the same order each time it is read, so its rows can be numbered as they are read. What
+    comes out of an exchange, a Python function or any RDD may come in another order.
+    """
+    plan = df._jdf.queryExecution().optimizedPlan()
+    fixed, node = plan.deterministic(), plan
+    while fixed and node.nodeName() in ("Project", "Filter"):
+        node = node.children().apply(0)
+    return df if fixed and (node.nodeName().startswith("Relation") or node.nodeName() in ("LogicalRelation", "LocalRelation")) else cut(df)
+
+
+def drop(*tables: DataFrame) -> None:
+    """Deletes tables made by ``cut`` that nothing reads any more."""
+    for df in tables:
+        drop_table(df.sparkSession, df.written_to)
 
 
 def drop_table(spark: SparkSession, path: str) -> None:
@@ -52,6 +67,12 @@ def drop_table(spark: SparkSession, path: str) -> None:
     where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
+def texts_of(batch: pa.RecordBatch, name: str = "text") -> Iterator[str]:
+    """The batch's texts one at a time, null as empty."""
+    for x in batch.column(name):
+        yield x.as_py() or ""
+
+
 def released(task: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable:
     """Gives back to the system what a task's arrays have left free, as the Python worker lives on for other tasks."""
 

@@ -15,8 +15,8 @@ anchor, though: the leftmost of their grams with the least hash. So the suffixes
 4. Covered intervals go back to their rows, merge, and the rest of the text is kept.
 
 Every row has a number of its own (``rid``, its place in the table as read) besides its document's place in the order, so
-rows that share a doc_id, or have none, are never mixed up and never meet in one task for it. The numbers are given anew
-each time the table is read: the input must give the same rows in the same order each time, as a table does.
+rows that share a doc_id, or have none, are never mixed up and never meet in one task for it. An input that isn't a table
+is written as one first, as only a table gives its rows in the same order each time.
 
 Hot grams: equal contexts are reduced in each chunk, and need 48 bytes in step 2. There rows are dealt by ranges of gram and
 context, so that a gram with many contexts spreads over tasks, and stream in sorted order, so that tasks hold a block of
@@ -43,7 +43,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import cut, released
+from .common import cut, released, stable
 
 LENGTH, GRAM = 100, 28
 #: Bytes hashed together; contexts of one gram that are sorted as one group; bytes of contexts sorted at once.
@@ -526,6 +526,7 @@ def numbered(docs: DataFrame, carried: list[Column]) -> DataFrame:
 
 def with_intervals(docs: DataFrame, carried: list[Column]) -> DataFrame:
     """doc, rid, text and what is carried, with the row's covered intervals (array of at, value; null if none)."""
+    docs = stable(docs)
     texts = numbered(docs, carried)
     found = numbered(docs, []).mapInArrow(find_anchors, ", ".join(f"{c} long" for c in ANCHOR))
     found = found.repartitionByRange("gram", "c1", "c2").sortWithinPartitions(*ANCHOR)
