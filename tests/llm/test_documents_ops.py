@@ -435,14 +435,47 @@ def test_mixing_meets_its_targets(spark):
 
 
 def test_stream_is_in_order_of_position(spark):
-    rows = odd_rows()
+    rows = [r for r in odd_rows() if r[0] not in (0, 7)]
     df = frame(spark, rows)
     stream = mixing.mix(df)
     assert stream.columns == df.columns
-    copies = {}
-    for r in mixing.mixing_query(df).collect():
-        copies[r.doc_id] = copies.get(r.doc_id, 0) + r.copies
-    assert collections.Counter(r.doc_id for r in stream.collect()) == {d: n for d, n in copies.items() if n}
+    query = [r for r in mixing.mixing_query(df).collect() if r.copies]
+    assert [r.position for r in query] == sorted(r.position for r in query)
+    seen = [r.doc_id for r in stream.collect()]
+    assert collections.Counter(seen) == {r.doc_id: r.copies for r in query}
+    first = {d: k for k, d in reversed(list(enumerate(seen)))}
+    assert sorted(first, key=first.get) == [r.doc_id for r in query]
+
+
+def test_repeated_rows_are_dealt_one_by_one(spark, monkeypatch):
+    """A third of all rows are one row; others share an id or have none. Words taken and targets hold, and rows are all there."""
+    monkeypatch.setattr(mixing, "TOGETHER", 7)
+    rng = random.Random(2)
+    rows = [(1, "w " * 9, "hot")] * 60 + [(2, None, "hot")] * 5 + [(rng.choice([3, None]), "v " * rng.randint(1, 30), rng.choice(["a", "hot", None])) for _ in range(115)]
+    df = frame(spark, rows).repartition(5)
+    got = mixing.mixing_query(df).collect()
+    assert collections.Counter((r.doc_id, r.size) for r in got) == collections.Counter((d, len((t or "").split())) for d, t, _ in rows)
+    sizes = collections.Counter()
+    for _, t, s in rows:
+        sizes[s] += len((t or "").split())
+    want, stream = naive_targets(dict(sizes)), mixing.mix(df).collect()
+    taken = collections.Counter()
+    for r in stream:
+        taken[r.source] += len((r.text or "").split())
+    assert all(abs(taken[s] - want[s]) <= 15 for s in want)
+    assert sum(r.taken for r in got) == sum(taken.values())
+    assert collections.Counter(len(r.text.split()) for r in stream) == collections.Counter(r.size for r in got for _ in range(r.copies))
+
+
+def test_many_sources_are_ranked_like_few(spark):
+    rows = [(k, "w " * (k % 11), None if k == 9 else f"s{k % 97:03d}é") for k in range(300)]
+    sizes = collections.Counter()
+    for _, t, s in rows:
+        sizes[s] += len(t.split())
+    want = naive_targets(dict(sizes))
+    got = mixing.targets(spark.createDataFrame(list(sizes.items()), "source string, source_size long")).collect()
+    assert [r.source for r in sorted(got, key=lambda r: r.rank)] == sorted(sizes, key=lambda s: (s is None, (s or "").encode()))
+    assert all(math.isclose(r.target, want[r.source], rel_tol=1e-9, abs_tol=1e-9) for r in got)
 
 
 def test_positions_follow_the_schedule(spark):
