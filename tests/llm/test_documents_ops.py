@@ -521,6 +521,46 @@ def test_packing_holds_every_token_once(spark):
     assert set(pieces) == set(ids)
 
 
+def test_packing_in_the_order_of_files(spark, tmp_path, monkeypatch):
+    """Sequences are numbered by the first of their documents; every token is there once."""
+    monkeypatch.setattr(packing, "SHARD_DOCS", 16)
+    monkeypatch.setattr(packing, "BAND_SHARDS", 2)
+    rng = random.Random(4)
+    rows = [(k, " ".join(rng.choice(["red", "blue", "green", "sky"]) + str(rng.randrange(99)) for _ in range(rng.randint(0, 900))), "s") for k in range(150)]
+    frame(spark, rows).repartitionByRange(3, "doc_id").sortWithinPartitions("doc_id").write.parquet(f"{tmp_path}/t")
+    docs, order = packing.in_file_order(spark.read.parquet(f"{tmp_path}/t"))
+    pieces = packing.pack_documents(docs, order=order).collect()
+    enc = packing.encoder()
+    assert sum(r.length for r in pieces) == sum(len(packing.token_ids(t, enc)) for _, t, _ in rows)
+    first = {}
+    for r in pieces:
+        first[r.sequence_id] = min(first.get(r.sequence_id, r.doc_id), r.doc_id)
+    assert [first[s] for s in sorted(first)] == sorted(first.values())
+    plain, place = packing.in_file_order(frame(spark, rows[:20]))
+    assert {r.doc_id for r in packing.pack_documents(plain, order=place).collect()} == set(range(20))
+
+
+def test_long_texts_encode_in_pieces():
+    """Pieces are cut where the pattern always splits, so their ids are those of the whole."""
+    from public_tokenizers import path
+    from tokenizers import Tokenizer
+
+    own, enc, rng = Tokenizer.from_file(path("byte_bpe_50k.json")), packing.encoder(), random.Random(1)
+    for _ in range(60):
+        text = "".join(rng.choice(["a", "b c", " ", "  ", "'s", "\n", " \n", "7", "é", "日", ".", "\x1c", "\u00a0", "<|endoftext|>"]) for _ in range(80))
+        assert packing.token_ids(text, enc, 9).tolist() == own.encode(text, add_special_tokens=False).ids + [1]
+
+
+def test_copies_and_like_documents_follow_each_other(spark):
+    """Documents on one subject lie in one shard though thousands of others lie between them in the table."""
+    enc = packing.encoder()
+    a = "hydraulic turbines spin generators beneath reservoirs turbines hydraulic generators"
+    key = packing.content_key(packing.token_ids(a, enc))
+    assert packing.content_key(packing.token_ids(a + " again", enc)) == key
+    assert packing.content_key(packing.token_ids("violins and cellos play slow quartets for violins", enc)) != key
+    assert -(1 << 63) <= packing.content_key(np.array([1], np.uint32)) < 1 << 63
+
+
 def test_neighbours_share_a_window():
     """Documents on one subject are packed together, though others stand between them."""
     rng = np.random.default_rng(1)
