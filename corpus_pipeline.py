@@ -20,7 +20,10 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document stays of those that a similarity of 0.8 or more links, by the five-word shingles of whole texts."""
+    """One document stays of those that a similarity of 0.8 or more links, by the five-word shingles of whole texts.
+
+    SimHash and BK-trees find the candidates, in shards that hold for that similarity; sets of shingles confirm them.
+    """
     return similar.near_dedup(docs)
 
 
@@ -35,8 +38,9 @@ def mixing_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def lexical_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token sequences of one length, a row a piece."""
-    return packing.pack_documents(docs)
+    """Token sequences of one length, a row a piece, numbered in the order of training, which is that of the mix's files."""
+    docs, order = packing.in_file_order(docs)
+    return packing.pack_documents(docs, order=order)
 
 
 STAGES = [
@@ -59,10 +63,14 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """
     docs, before = common.documents(spark, sf_dir), None
     folder = f"{common.shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
-    for name, stage in STAGES[:-1]:
-        stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
-        docs = spark.read.parquet(f"{folder}/{name}")
-        if before:
-            common.drop_table(spark, before)
-        before = f"{folder}/{name}"
-    return STAGES[-1][1](spark, docs, sf_dir)
+    try:
+        for name, stage in STAGES[:-1]:
+            stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
+            docs = spark.read.parquet(f"{folder}/{name}")
+            if before:
+                common.drop_table(spark, before)
+            before = f"{folder}/{name}"
+        return STAGES[-1][1](spark, docs, sf_dir)
+    except BaseException:
+        common.drop_table(spark, folder)
+        raise
