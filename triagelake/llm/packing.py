@@ -61,15 +61,14 @@ def encoder(name: str = "byte_bpe_50k"):
 
 
 def token_ids(text: str, enc, piece: int = PIECE) -> np.ndarray:
+    """The text's ids and the end id."""
     parts, at = [], 0
-    while at < len(text) or not parts:
+    while at < len(text):
         found = SAFE.search(text, at + piece) if len(text) - at > piece else None
         end = found.start() if found else len(text)
         part = text[at:end] if at or found else text
-        parts.append(np.array(enc.encode(part, allowed_special="all") if "<|" in part else enc.encode_ordinary(part), np.uint32))
+        parts.append(enc.encode_to_numpy(part, allowed_special="all" if "<|" in part else set(), disallowed_special=()))
         at = end
-        if not text:
-            break
     return np.concatenate([*parts, np.array([END], np.uint32)])
 
 
@@ -199,9 +198,11 @@ def encoded(docs: DataFrame, window: int, with_ids: bool, order: list[Column]) -
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder()
         for batch in batches:
-            source, found = [], []
+            source, found, known = [], [], {}  # equal texts of a batch are encoded once
             for k, text in enumerate(texts_of(batch)):
-                ids = token_ids(text, enc)
+                if text not in known:
+                    known[text] = token_ids(text, enc)
+                ids = known[text]
                 rest = len(ids) // window * window
                 key = content_key(ids[rest:] if rest < len(ids) else ids[-window:])
                 for at in [*range(0, rest, window), *([rest] if rest < len(ids) else [])]:
@@ -223,7 +224,7 @@ def pack_documents(docs: DataFrame, window: int = WINDOW, with_ids: bool = False
     With ``order``, columns of ``docs``, sequence_id grows with the documents' places in it.
     """
     kind = docs.schema["doc_id"].dataType.simpleString()
-    parts = encoded(docs, window, with_ids, order or []).withColumn("tie", F.xxhash64("rid"))
+    parts = cut(encoded(docs, window, with_ids, order or []).withColumn("tie", F.xxhash64("rid")))  # ranges are found by reading it twice
     if order:
         places = [f"place.at{k}" for k in range(len(order))]
         parts = parts.repartitionByRange(*places, "tie").sortWithinPartitions(*places, "tie", "start")
