@@ -90,7 +90,12 @@ def in_memory(rows, tasks):
 
     table = [pa.RecordBatch.from_pydict({"doc": [d], "rid": [k], "text": [t]}, pa.schema([("doc", pa.int64()), ("rid", pa.int64()), ("text", pa.string())])) for k, (d, t) in enumerate(rows)]
     anchors = [b for k in (0, 1) for b in suffix.find_anchors(iter(table[k::2]))]
-    met = [b for task in dealt(anchors, list(suffix.ANCHOR), 3, tasks) for b in suffix.match_anchors(iter(task))]
+    grams = sorted({g for b in anchors for g in b.column("gram").to_pylist()})
+    hot = np.array(grams[::3] if tasks > 1 else [], np.int64)  # as if a third were hot
+    slot = lambda r: (r["c1"] if r["gram"] in set(hot.tolist()) else r["gram"]) % tasks
+    each = [r for b in anchors for r in b.to_pylist()]
+    parts = [[r for r in each if slot(r) == k] for k in range(tasks)]
+    met = [b for part in parts if part for task in dealt([pa.RecordBatch.from_pylist(part)], list(suffix.ANCHOR), 3, 1) for b in suffix.match_anchors(iter(task), hot)]
     met = [b for task in dealt(met, ["rid"], 1, 1) for b in suffix.join_intervals(iter(task))]
     rows_ = [r for b in met for r in b.to_pylist()]
     kind = pa.list_(pa.struct([("at", pa.int64()), ("value", pa.int64()), ("kind", pa.int32())]))

@@ -18,11 +18,11 @@ Every row has a number of its own (``rid``, its place in the table as read) besi
 rows that share a doc_id, or have none, are never mixed up and never meet in one task for it. An input that isn't a table
 is written as one first, as only a table gives its rows in the same order each time.
 
-Hot grams: equal contexts are reduced in each chunk, and need 48 bytes in step 2. There rows are dealt by ranges of gram and
-context, so that a gram with many contexts spreads over tasks, and stream in sorted order, so that tasks hold a block of
-rows however large their range is. A gram with more than ``HOT`` contexts, or at the end of a task's range, is dealt out
-window by window in step 3, by the hash of the window, and equal windows are reduced before they move (``DEALT`` of them
-are held); so no group of step 3 is larger than ``HOT`` contexts or what equal windows of different tasks make.
+Hot grams: equal contexts are reduced in each chunk, and need 48 bytes in step 2. There rows are dealt by gram, those of
+hot grams by context, so that a gram with many contexts spreads over tasks, and stream in sorted order, so that tasks hold a
+block of rows however many they get. A hot gram, or one with more than ``HOT`` contexts, is dealt out window by window in
+step 3, by the hash of the window, and equal windows are reduced before they move (``DEALT`` of them are held); so no group
+of step 3 is larger than ``HOT`` contexts or what equal windows of different tasks make.
 
 Defined results: a null text is empty; a null doc_id counts as larger than any other; rows with one doc_id, or none, are
 documents of their own, earlier ones in the table first, so of repeated rows all but one lose everything, if ``LENGTH``
@@ -43,7 +43,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import cut, released, stable
+from .common import cut, drop, released, stable
 
 LENGTH, GRAM = 100, 28
 #: Bytes hashed together; contexts of one gram that are sorted as one group; bytes of contexts sorted at once.
@@ -52,6 +52,8 @@ CHUNK, HOT, SORTED = 1 << 19, 1000, 1 << 20
 BLOCK = 100_000
 #: Windows of hot grams that a task holds before it passes them on.
 DEALT = 50_000
+#: One in so many rows tells which grams are hot.
+SAMPLED = 64
 LAST = (1 << 63) - 1
 INTERVAL = 127
 
@@ -219,6 +221,7 @@ def rows(doc: np.ndarray, rid: np.ndarray, at: np.ndarray, value: np.ndarray, ki
 ROWS = "doc long, rid long, at long, value long, kind int"
 #: What anchors are sorted by: the gram, the context's digest in two halves, the document, the row, the place in it.
 ANCHOR = ("gram", "c1", "c2", "doc", "rid", "at")
+ANCHORS = ", ".join(f"{c} long" for c in ANCHOR)
 #: Kinds of rows: a covered interval (value: its end), a context to compare (value: its gram), one of a hot gram.
 COVERED, COMPARE, DEAL = 1, 2, 3
 
@@ -254,17 +257,15 @@ def whole_groups(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.Tab
         yield pa.Table.from_batches(held).combine_chunks()
 
 
-@released
-def match_anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def match_anchors(batches: Iterator[pa.RecordBatch], hot: np.ndarray) -> Iterator[pa.RecordBatch]:
     """Anchors sorted by gram, context, document, row and place to covered intervals and contexts to compare.
 
-    Rows stream through: of each context only its head is held, and of one gram ``HOT`` heads at most. A gram at either
-    end of the task's range may go on in another task, so its contexts are dealt out there as here. Equal contexts lie in
-    one task, as the ranges are of whole contexts.
+    Rows stream through: of each context only its head is held, and of one gram ``HOT`` heads at most. The contexts of a
+    ``hot`` gram lie in many tasks, equal ones in one, so they are dealt out there as here.
     """
-    before = None  # the row before this block
+    before = (0, 0, 0, False)  # the row before this block, and whether there is one
     pending = (np.zeros(0, np.int64),) * 4  # heads of the last gram: gram, doc, rid, at
-    dealt = first = None
+    dealt = None
     for gram, c1, c2, doc, rid, at in blocks(batches, *ANCHOR):
         done = (at >> 7) & 127 == INTERVAL
         if done.any():
@@ -274,12 +275,11 @@ def match_anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
             gram, c1, c2, doc, rid, at = (c[~done] for c in (gram, c1, c2, doc, rid, at))
         if not len(gram):
             continue
-        first = int(gram[0]) if first is None else first
-        last = before or (int(gram[0]) ^ 1, 0, 0)
         head = np.zeros(len(gram), bool)
-        for x, c in zip(last, (gram, c1, c2)):
+        for x, c in zip(before, (gram, c1, c2)):
             head |= c != np.concatenate(([x], c[:-1]))
-        before = (int(gram[-1]), int(c1[-1]), int(c2[-1]))
+        head[0] |= not before[3]
+        before = (int(gram[-1]), int(c1[-1]), int(c2[-1]), True)
         if not head.all():
             place, ahead, more = unpack(at[~head])
             zero = np.zeros(len(place), np.int64)
@@ -290,16 +290,17 @@ def match_anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         new = np.ones(len(gram), bool)
         new[1:] = gram[1:] != gram[:-1]
         size = np.bincount(np.cumsum(new) - 1)[np.cumsum(new) - 1]
-        open_ = gram == gram[-1]
-        all_dealt = (gram == first) | (size > HOT) | (gram == (first if dealt is None else dealt))
-        ready = ~open_ | all_dealt
+        all_dealt = np.isin(gram, hot) | (size > HOT)
+        if dealt is not None:
+            all_dealt |= gram == dealt
+        ready = (gram != gram[-1]) | all_dealt
         chosen = ready & (all_dealt | (size > 1))
         if chosen.any():
             yield rows(doc[chosen], rid[chosen], at[chosen], gram[chosen], np.where(all_dealt[chosen], DEAL, COMPARE))
         dealt = int(gram[-1]) if all_dealt[-1] else None
         pending = tuple(c[~ready] for c in (gram, doc, rid, at))
-    if len(pending[0]):
-        yield rows(pending[1], pending[2], pending[3], pending[0], DEAL)
+    if len(pending[0]) > 1:
+        yield rows(pending[1], pending[2], pending[3], pending[0], COMPARE)
 
 
 @released
@@ -524,13 +525,38 @@ def numbered(docs: DataFrame, carried: list[Column]) -> DataFrame:
     return both.select(F.coalesce("doc", F.lit(LAST)).alias("doc"), "rid", "text", *[F.col(f"carried{k}").alias(n) for k, n in enumerate(names)])
 
 
+def hot_grams(docs: DataFrame) -> np.ndarray:
+    """Grams that fill an eighth of a task's share or more, by one in ``SAMPLED`` rows: as many as eight a task at most.
+
+    The sample only decides which grams are spread over tasks; the result is the same whichever they are.
+    """
+    tasks = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    some = numbered(docs, []).where(F.pmod(F.xxhash64("rid"), F.lit(SAMPLED)) == 0).mapInArrow(find_anchors, ANCHORS)
+    counts = cut(some.where(F.shiftright("at", 7).bitwiseAND(127) != INTERVAL).groupBy("gram").agg(F.count("*").alias("n")))
+    least = (counts.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]) / (8 * tasks)
+    found = counts.where(F.col("n") >= max(8.0, least)).select("gram").toArrow().column("gram").to_numpy()
+    drop(counts)
+    return found
+
+
 def with_intervals(docs: DataFrame, carried: list[Column]) -> DataFrame:
     """doc, rid, text and what is carried, with the row's covered intervals (array of at, value; null if none)."""
     docs = stable(docs)
+    hot = hot_grams(docs)
     texts = numbered(docs, carried)
-    found = numbered(docs, []).mapInArrow(find_anchors, ", ".join(f"{c} long" for c in ANCHOR))
-    found = found.repartitionByRange("gram", "c1", "c2").sortWithinPartitions(*ANCHOR)
-    met = found.mapInArrow(match_anchors, ROWS).repartition("rid").sortWithinPartitions("rid")
+
+    @released
+    def match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return match_anchors(batches, hot)
+
+    found = numbered(docs, []).mapInArrow(find_anchors, ANCHORS)
+    spread = docs.sparkSession.createDataFrame(pa.table({"gram": pa.array(hot, pa.int64())})) if len(hot) else None
+    slot = F.col("gram")
+    if spread is not None:
+        found = found.join(F.broadcast(spread.withColumn("spread", F.lit(True))), "gram", "left")
+        slot = F.when(F.col("spread"), F.xxhash64("gram", "c1")).otherwise(F.col("gram"))
+    found = found.withColumn("slot", slot).repartition("slot").select(*ANCHOR).sortWithinPartitions(*ANCHOR)
+    met = found.mapInArrow(match, ROWS).repartition("rid").sortWithinPartitions("rid")
     met = cut(met.mapInArrow(join_intervals, ROWS))
     wanted = met.where(F.col("kind") != COVERED).groupBy("rid").agg(F.collect_list(F.struct("at", "value", "kind")).alias("wanted"))
     schema = "gram long, doc long, rid long, at long, value long, bytes binary"
