@@ -15,6 +15,8 @@ WORD = r"[^\x20\x09-\x0D]+"
 BLANKS = " \t\n\x0b\x0c\r"
 
 
+#: Small rows to a file.
+FILE_ROWS = 250_000
 #: Rows that go to a Python worker at once, in place of Spark's 10,000: texts are long.
 BATCH_ROWS = 1000
 
@@ -41,10 +43,13 @@ def shared_folder(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """``df`` written to the shared folder and read again, so that lost executors cost no recomputation of what lies before."""
+def cut(df: DataFrame, rows: int | None = None) -> DataFrame:
+    """``df`` written to the shared folder and read again, so that lost executors cost no recomputation of what lies before.
+
+    ``rows``, a bound on its rows where they are small ones, keeps small tables to few files.
+    """
     path = f"{shared_folder(df.sparkSession)}/cut-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    (df if rows is None else df.coalesce(1 + rows // FILE_ROWS)).write.parquet(path)
     found = df.sparkSession.read.schema(df.schema).parquet(path)
     found.written_to = path
     return found

@@ -214,7 +214,7 @@ def links(fps: DataFrame, radius: int = RADIUS, dense: int = DENSE) -> DataFrame
     bands = _parts(F.col("fp"), 0, BANDS)
     dealt = fps.select("fp", F.explode(F.array(*_pairs(bands, 11))).alias("shard"))
     sizes = dealt.groupBy("shard").agg(F.count("*").alias("n")).where(F.col("n") > dense).select("shard")
-    crowded = cut(sizes)
+    crowded = cut(sizes, 0)  # few
     if crowded.isEmpty():
         parts = dealt.select("fp", "shard", F.lit(0).cast("long").alias("part"))
     else:
@@ -239,16 +239,16 @@ def components(edges: DataFrame) -> DataFrame:
     it is between two plain exchanges, whose large partitions Spark splits. A round's tables go when the next is written.
     """
     edges = cut(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u != v").distinct())
-    state = None
+    state, rows = None, edges.count()  # rounds give no more edges than there are
     while True:
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = cut(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")))
-        large = cut(both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").distinct())
+        least = cut(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), 2 * rows)
+        large = cut(both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").distinct(), rows)
         drop(edges, least)
-        least = cut(large.groupBy("u").agg(F.min("v").alias("m")))
+        least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").union(least.select("u", F.col("m").alias("v")))
-        edges = cut(small.distinct())
-        drop(large, least)
+        edges = cut(small.distinct(), 2 * rows)
+        drop(large)
         now = tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
         if now == state or not now[0]:
             return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
@@ -259,7 +259,7 @@ def joined(fps: DataFrame, find: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """Rows (doc_id, rid, fp) with their components; ``find`` gives the edges between classes (fp)."""
     classes = cut(fps.groupBy("fp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("void"), "doc_id", "rid")).alias("first")))
     roots = components(find(classes))
-    rooted = cut(classes.join(roots, classes["fp"] == roots["node"], "left").select("fp", "first", F.coalesce("root", "fp").alias("root")))
+    rooted = classes.join(roots, classes["fp"] == roots["node"], "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
     firsts_ = rooted.groupBy("root").agg(F.min("first").alias("first"))
     rooted = cut(firsts_.join(rooted.select("root", F.col("fp").alias("key")), "root").select("key", F.col("first.doc_id").alias("component_id"), F.col("first.rid").alias("first_rid")))
     drop(classes)

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import simhash
-from .common import cut, drop, released, stable, texts_of
+from .common import cut, released, stable, texts_of
 
 SHINGLE, BANDS, LEAST = 5, 32, 4
 #: Least similarity, as a fraction of whole numbers so that comparing is exact.
@@ -91,13 +91,11 @@ def keyed(docs: DataFrame) -> DataFrame:
 
 def members(fps: DataFrame) -> DataFrame:
     """fp, key, n (members) for the shards that bring classes together; of shards with the same members one is kept."""
-    each = cut(fps.groupBy("fp").agg(F.first("keys").alias("keys")).select("fp", F.explode("keys").alias("key")))
+    each = fps.groupBy("fp").agg(F.first("keys").alias("keys")).select("fp", F.explode("keys").alias("key"))
     alike = F.count("*").alias("n"), F.min("fp").alias("lo"), F.max("fp").alias("hi"), F.bit_xor(F.xxhash64("fp")).alias("all")
     shards = each.groupBy("key").agg(*alike).where("n > 1")
     once = shards.groupBy("n", "lo", "hi", "all").agg(F.min("key").alias("key"))
-    found = cut(each.join(once.select("n", "key"), "key").select("fp", "key", "n"))
-    drop(each)
-    return found
+    return each.join(once.select("n", "key"), "key").select("fp", "key", "n")
 
 
 def sized(docs: DataFrame, fps: DataFrame, chosen: DataFrame) -> DataFrame:
@@ -165,18 +163,18 @@ def near_pairs(batches: Iterator[pa.RecordBatch], radius: int) -> Iterator[pa.Re
 
 def links(docs: DataFrame, fps: DataFrame) -> DataFrame:
     """(a, b) of linked classes: as many as join what links."""
-    found = members(fps)
+    found = cut(members(fps))
     sets = cut(sized(docs, fps, found.select("fp").distinct()))
     central = found.groupBy("fp").agg(F.sum("n").alias("weight"))
     weighed = found.join(central, "fp").groupBy("key").agg(F.max(F.struct("weight", "fp")).alias("top")).select("key", F.col("top.fp").alias("pivot"))
-    pivots = cut(weighed)
+    pivots = cut(weighed, found.count())
     to_pivot = found.join(pivots, "key").where("fp != pivot").select(F.col("fp").alias("a"), F.col("pivot").alias("b")).distinct()
     near = cut(confirmed(to_pivot, sets))
-    roots = cut(simhash.components(near))
+    roots = simhash.components(near)
     rooted = found.join(roots, found["fp"] == roots["node"], "left").select("fp", "key", F.coalesce("root", "fp").alias("root"))
     leader = pivots.join(roots, pivots["pivot"] == roots["node"], "left").select("key", "pivot", F.coalesce("root", "pivot").alias("main"))
     mixed = rooted.join(leader, "key").where("fp != pivot").withColumn("stray", (F.col("root") != F.col("main")).cast("int"))
-    mixed = cut(mixed.select("fp", "key", "root", "stray"))
+    mixed = mixed.select("fp", "key", "root", "stray")
     counts = mixed.groupBy("key").agg(F.sum("stray").alias("strays"), F.count("*").alias("n")).where("strays > 0 and n > 1")
     strays, others = F.ceil(F.col("strays") / BLOCK), F.ceil((F.col("n") - F.col("strays")) / BLOCK)
     live = mixed.join(counts, "key").withColumn("ahead", strays).withColumn("blocks", strays + others)
@@ -188,7 +186,7 @@ def links(docs: DataFrame, fps: DataFrame) -> DataFrame:
     dealt = dealt.repartition("shard").sortWithinPartitions("shard", "side")
     pairs = dealt.mapInArrow(released(lambda batches: near_pairs(batches, RADIUS)), "a long, b long")
     pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    return near.union(cut(confirmed(pairs, sets)))
+    return near.union(confirmed(pairs, sets))
 
 
 def near_dedup(docs: DataFrame) -> DataFrame:

@@ -43,7 +43,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import cut, drop, released, stable
+from .common import cut, released, stable
 
 LENGTH, GRAM = 100, 28
 #: Bytes hashed together; contexts of one gram that are sorted as one group; bytes of contexts sorted at once.
@@ -532,10 +532,10 @@ def hot_grams(docs: DataFrame) -> np.ndarray:
     """
     tasks = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     some = numbered(docs, []).where(F.pmod(F.xxhash64("rid"), F.lit(SAMPLED)) == 0).mapInArrow(find_anchors, ANCHORS)
-    counts = cut(some.where(F.shiftright("at", 7).bitwiseAND(127) != INTERVAL).groupBy("gram").agg(F.count("*").alias("n")))
+    counts = some.where(F.shiftright("at", 7).bitwiseAND(127) != INTERVAL).groupBy("gram").agg(F.count("*").alias("n")).persist()
     least = (counts.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]) / (8 * tasks)
     found = counts.where(F.col("n") >= max(8.0, least)).select("gram").toArrow().column("gram").to_numpy()
-    drop(counts)
+    counts.unpersist()
     return found
 
 
@@ -557,7 +557,7 @@ def with_intervals(docs: DataFrame, carried: list[Column]) -> DataFrame:
         slot = F.when(F.col("spread"), F.xxhash64("gram", "c1")).otherwise(F.col("gram"))
     found = found.withColumn("slot", slot).repartition("slot").select(*ANCHOR).sortWithinPartitions(*ANCHOR)
     met = found.mapInArrow(match, ROWS).repartition("rid").sortWithinPartitions("rid")
-    met = cut(met.mapInArrow(join_intervals, ROWS))
+    met = met.mapInArrow(join_intervals, ROWS)  # read twice behind the exchange, which Spark does once
     wanted = met.where(F.col("kind") != COVERED).groupBy("rid").agg(F.collect_list(F.struct("at", "value", "kind")).alias("wanted"))
     schema = "gram long, doc long, rid long, at long, value long, bytes binary"
     dealt = texts.repartition("rid")
