@@ -10,7 +10,8 @@ fingerprint of 64 bits can't tell such pairs from others (they differ in 10 bits
    copies is the text that they are copies of. That joins most of a group by one edge a member.
 4. Where a shard still holds several components, BK-trees over SimHashes of 2,048 bits find the pairs between them: at a
    similarity of 0.8 they differ in 310 bits in the mean with a deviation of 16, at 0.7 in 395, unrelated ones in 1,024,
-   and the radius is four deviations above the first mean. Members of the pivot's component and the others are dealt to blocks, two blocks meet in a
+   and the radius is four deviations above the first mean. Shingles that no other class there has can't be common, which
+   bounds the similarity of a pair from above and leaves out most of what the radius lets in. Members of the pivot's component and the others are dealt to blocks, two blocks meet in a
    task, and two blocks of the pivot's component never do, so no group has to be in one place.
 5. Every candidate pair is confirmed by its whole sets; confirmed links join to components as in ``simhash``.
 
@@ -136,9 +137,10 @@ def confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
 
 def near_pairs(batches: Iterator[pa.RecordBatch], radius: int) -> Iterator[pa.RecordBatch]:
-    """Rows (shard, side, fp, root, wide) sorted by shard and side to the pairs of different components within the radius.
+    """Rows (shard, side, fp, root, wide, size, shared) sorted by shard and side to candidate pairs of different components.
 
-    A shard is two blocks that meet, or one with itself; the first side's tree is searched with the other's members.
+    A shard is two blocks that meet, or one with itself; the first side's tree is searched with the other's members. Of
+    what lies within the radius those are left whose shared shingles are enough for the similarity.
     """
     shard, tree, first, out = None, simhash.BKTree(), [], []
 
@@ -148,14 +150,19 @@ def near_pairs(batches: Iterator[pa.RecordBatch], radius: int) -> Iterator[pa.Re
         return pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], ["a", "b"])
 
     for batch in batches:
-        for here, side, fp, root, wide in zip(*(batch.column(c).to_pylist() for c in ("shard", "side", "fp", "root", "wide"))):
+        columns = (batch.column(c).to_pylist() for c in ("shard", "side", "fp", "root", "wide", "size", "shared"))
+        for here, side, fp, root, wide, size, shared in zip(*columns):
             if here != shard:
                 shard, tree, first = here, simhash.BKTree(), []
             value = int.from_bytes(wide, "big")
             if side:  # 1: of the other block; -1: of the only block, against those before it
-                out += [(fp, first[k][0]) for k in tree.find(value, radius) if first[k][1] != root]
+                for k in tree.find(value, radius):
+                    other, its_root, its_size, its_shared = first[k]
+                    most = min(shared, its_shared)
+                    if its_root != root and SIMILAR[1] * most >= SIMILAR[0] * (size + its_size - most):
+                        out.append((fp, other))
             if side <= 0:
-                first.append((fp, root))
+                first.append((fp, root, size, shared))
                 tree.add(value)
         if len(out) > 50_000:
             yield passed()
@@ -163,6 +170,25 @@ def near_pairs(batches: Iterator[pa.RecordBatch], radius: int) -> Iterator[pa.Re
         yield passed()
 
 
+def shared_shingles(sets: DataFrame) -> DataFrame:
+    """fp, wide, size and shared (shingles that another class has too) of the classes that share enough to be linked."""
+
+    @released
+    def spelt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for fp, raw in zip(batch.column("fp").to_pylist(), batch.column("hashes")):
+                hashes = np.frombuffer(raw.as_py(), np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(hashes), fp)), pa.array(hashes)], ["fp", "h"])
+
+    sets = cut(sets)
+    each = sets.select("fp", "hashes").mapInArrow(spelt, "fp long, h long").groupBy("h").agg(F.count("*").alias("n"), F.min("fp").alias("owner"))
+    alone = each.where("n = 1").groupBy("owner").agg(F.count("*").alias("alone"))
+    size = F.floor(F.octet_length("hashes") / 8)
+    both = sets.select("fp", "wide", size.alias("size")).join(alone, F.col("fp") == F.col("owner"), "left")
+    both = both.select("fp", "wide", "size", (F.col("size") - F.coalesce("alone", F.lit(0))).alias("shared"))
+    return both.where(SIMILAR[1] * F.col("shared") >= SIMILAR[0] * F.col("size"))
+
+
 def links(docs: DataFrame, fps: DataFrame) -> DataFrame:
     """(a, b) of linked classes: as many as join what links."""
     found = cut(members(fps))
@@ -179,12 +205,13 @@ def links(docs: DataFrame, fps: DataFrame) -> DataFrame:
     mixed = mixed.select("fp", "key", "root", "stray")
     counts = mixed.groupBy("key").agg(F.sum("stray").alias("strays"), F.count("*").alias("n")).where("strays > 0 and n > 1")
     strays, others = F.ceil(F.col("strays") / BLOCK), F.ceil((F.col("n") - F.col("strays")) / BLOCK)
+    facts = shared_shingles(sets.join(mixed.join(counts, "key").select("fp").distinct(), "fp", "left_semi"))
     live = mixed.join(counts, "key").withColumn("ahead", strays).withColumn("blocks", strays + others)
     own = F.when(F.col("stray") == 1, F.pmod(F.xxhash64("fp"), F.col("ahead"))).otherwise(F.col("ahead") + F.pmod(F.xxhash64("fp"), F.greatest(F.lit(1), F.col("blocks") - F.col("ahead"))))
     met = live.withColumn("block", own).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.when(F.col("stray") == 1, F.col("blocks")).otherwise(F.col("ahead")) - 1)))
     side = F.when(F.col("block") == F.col("other"), -1).otherwise((F.col("block") > F.col("other")).cast("int"))
     shard = F.xxhash64("key", F.least("block", "other"), F.greatest("block", "other"))
-    dealt = met.select("fp", "root", shard.alias("shard"), side.alias("side")).join(sets.select("fp", "wide"), "fp")
+    dealt = met.select("fp", "root", shard.alias("shard"), side.alias("side")).join(facts, "fp")
     dealt = dealt.repartition("shard").sortWithinPartitions("shard", "side")
     pairs = dealt.mapInArrow(released(lambda batches: near_pairs(batches, RADIUS)), "a long, b long")
     pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
