@@ -5,7 +5,7 @@ sample, give conjunctive rules: every path from the root is one. A lasso-penalis
 and leaves few; these are compiled into one Spark column expression over the statistics, so that scoring is a projection.
 
 Labels teach, and the statistics are the only inputs: lang, source and doc_id never reach a score. At most ``SAMPLE``
-labelled rows are used, those with the least hash of their id.
+labelled rows are used, those with the least hash of their id; every tree grows on a random ``TREE_ROWS`` of them.
 
 Defined results: a null or empty text has all statistics 0 and is scored like any other; without usable labels every
 score is 0.5 and every text is kept; repeated rows get equal scores; an empty table gives an empty result. The statistics
@@ -25,9 +25,9 @@ from pyspark.sql import types as T
 
 from .common import BLANKS, released, texts_of
 
-#: The bound on labelled rows; folds by crc32 of the id; how many trees grow, and how deep.
+#: The bound on labelled rows; folds by crc32 of the id; how many trees grow, on how many of those rows each, and how deep.
 SAMPLE, FOLDS, HELD_OUT = 20_000, 3, 1
-TREES, DEPTH, PENALTY, ROUNDS = 24, 3, 2e-3, 600
+TREES, TREE_ROWS, DEPTH, PENALTY, ROUNDS = 24, 4_000, 3, 2e-3, 600
 STATISTICS = (
     "words", "word_length", "symbols", "marks", "bars", "capitals", "distinct", "repeats",
     "duplicate_lines", "digits", "stops", "line_words", "longest",
@@ -153,11 +153,11 @@ def fit_rules(x: np.ndarray, y: np.ndarray, seed: int = 7) -> Ensemble:
         return Ensemble()
     rng, found = np.random.default_rng(seed), set()
     for _ in range(TREES):
-        rows = rng.choice(len(y), min(len(y), 4000), replace=False)
+        rows = rng.choice(len(y), min(len(y), TREE_ROWS), replace=False)
         grow(x, y, rows, DEPTH, rng, (), found)
     rules = sorted(found)
     r = np.stack([fires(rule, x) for rule in rules], axis=1).astype(np.float32)
-    _, once = np.unique(r[: min(len(r), 5000)], axis=1, return_index=True)
+    _, once = np.unique(np.packbits(r > 0, axis=0), axis=1, return_index=True)  # rules that agree on every row are one
     rules, r = [rules[k] for k in sorted(once)], r[:, sorted(once)]
     intercept, weights = lasso(r, y, PENALTY, ROUNDS)
     return Ensemble(intercept, [(rule, float(w)) for rule, w in zip(rules, weights) if abs(w) > 1e-6])
