@@ -1,8 +1,8 @@
 """Quality rules as a short-circuit cascade.
 
 Base statistics are counted once per text. Each rule is a test on what is cheap or dear to find; a rule's cost and the
-share of texts that it rejects are measured on a bounded sample, and the cascade tries rules in the order of rejections
-per second, so that later rules run only on texts that all earlier ones passed. The order decides the cost alone: a
+texts that it rejects are measured on a bounded sample of those that pass the base rules, and the cascade tries rules in the
+order of rejections per second among the texts that all earlier ones passed. The order decides the cost alone: a
 text is kept if every rule passes, whichever comes first.
 
 Defined results: a null text has no words and fails the base rules (fewer than ten words); very long texts are read
@@ -25,8 +25,8 @@ from .common import BLANKS, texts_of
 
 SYMBOLS = "#*$%&|<>"
 WINDOW, LEAST_WORDS, MOST_REPEATED = 5, 10, 20
-#: Texts on which the rules' cost and selectivity are measured.
-SAMPLE = 512
+#: Texts of which the rules' cost and selectivity are measured.
+SAMPLE = 1024
 
 
 @dataclass(frozen=True)
@@ -96,28 +96,44 @@ def base_failed(m: dict) -> bool:
     return m["n_words"] < LEAST_WORDS or 100 * m["n_repeat_words"] > MOST_REPEATED * m["n_words"]
 
 
-def costs(docs: DataFrame, rules: tuple[Rule, ...], sample: int) -> list[tuple[int, int, float]]:
-    """(rule, texts rejected, seconds) for each rule over ``sample`` texts; the texts stay on the executors."""
+def costs(docs: DataFrame, rules: tuple[Rule, ...], sample: int) -> list[tuple[int, int, list[float]]]:
+    """(set of rules that reject, texts, seconds of each rule) over the sampled texts that pass the base rules.
+
+    The sample are the rows with the least hashes, whatever their place in the table; the texts stay on the executors.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rejected, seconds = [0] * len(rules), [0.0] * len(rules)
+        found: dict[int, list] = {}
         for batch in batches:
             for text in texts_of(batch):
-                m = measure(text)
+                m, mask, seconds = measure(text), 0, []
+                if base_failed(m):
+                    continue
                 for k, rule in enumerate(rules):
                     start = time.perf_counter()
-                    rejected[k] += rule.rejects(text, m)
-                    seconds[k] += time.perf_counter() - start
-        yield pa.RecordBatch.from_arrays([pa.array(range(len(rules)), pa.int32()), pa.array(rejected, pa.int64()), pa.array(seconds, pa.float64())], ["rule", "rejected", "seconds"])
-
-    found = docs.select("text").limit(sample).mapInArrow(run, "rule int, rejected long, seconds double")
-    return [tuple(r) for r in found.groupBy("rule").agg(F.sum("rejected"), F.sum("seconds")).collect()]
-
-
-def ordered(rules: tuple[Rule, ...], measured: list[tuple[int, int, float]]) -> list[Rule]:
-    """The rules by rejections per second of work on the sample, most first."""
-    rate = {k: (rejected + 1e-3) / (seconds + 1e-9) for k, rejected, seconds in measured}
-    return [rules[k] for k in sorted(range(len(rules)), key=lambda k: (-rate.get(k, 0.0), k))]
+                    mask |= bool(rule.rejects(text, m)) << k
+                    seconds.append(time.perf_counter() - start)
+                n, total = found.get(mask, (0, [0.0] * len(rules)))
+                found[mask] = [n + 1, [a + b for a, b in zip(total, seconds)]]
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(found, pa.int64()), pa.array([n for n, _ in found.values()], pa.int64()), pa.array([t for _, t in found.values()], pa.list_(pa.float64()))],
+            ["mask", "n", "seconds"],
+        )
+
+    some = docs.select("text").orderBy(F.xxhash64("doc_id", "text")).limit(sample)
+    return [tuple(r) for r in some.mapInArrow(run, "mask long, n long, seconds array<double>").collect()]
+
+
+def ordered(rules: tuple[Rule, ...], measured: list[tuple[int, int, list[float]]]) -> list[Rule]:
+    """The rules by rejections per second, each counted on the texts that the rules before it let through."""
+    cost = [sum(seconds[k] for *_, seconds in measured) + 1e-9 for k in range(len(rules))]
+    left, plan = list(range(len(rules))), []
+    while left:
+        passed = [(mask, n) for mask, n, _ in measured if not any(mask >> k & 1 for k in plan)]
+        best = max(left, key=lambda k: ((sum(n for mask, n in passed if mask >> k & 1) + 1e-3) / cost[k], -k))
+        plan.append(best)
+        left.remove(best)
+    return [rules[k] for k in plan]
 
 
 def cascade(docs: DataFrame, rules: tuple[Rule, ...] = RULES, sample: int = SAMPLE) -> DataFrame:
@@ -142,12 +158,6 @@ def cascade(docs: DataFrame, rules: tuple[Rule, ...] = RULES, sample: int = SAMP
     return docs.select("doc_id", "text").mapInArrow(run, schema)
 
 
-def kept_documents(docs: DataFrame) -> DataFrame:
-    """The texts that pass, as (doc_id, text)."""
-    good = cascade(docs).where("kept").select(F.col("doc_id").alias("kept_id"))
-    return docs.join(good, docs["doc_id"].eqNullSafe(good["kept_id"]), "left_semi")
-
-
 ORACLE = r"""
 WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS text FROM documents),
 w AS (SELECT *, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS words,
