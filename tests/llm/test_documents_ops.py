@@ -301,7 +301,15 @@ def test_rule_order_changes_no_verdict(spark):
 
 def test_rules_by_rejections_per_second():
     a, b, c = rules.RULES[:3]
-    assert rules.ordered((a, b, c), [(0, 10, 1.0), (1, 5, 0.1), (2, 0, 0.01)]) == [b, a, c]
+    assert rules.ordered((a, b, c), [(0b001, 10, [0.9, 0.05, 0.01]), (0b010, 5, [0.1, 0.05, 0.0])]) == [b, a, c]
+    # what b rejects, a rejects too: once a has run there is nothing left for b, and c comes next
+    assert rules.ordered((a, b, c), [(0b011, 9, [0.1, 0.2, 0.0]), (0b100, 1, [0.0, 0.0, 0.3])]) == [a, c, b]
+
+
+def test_rules_are_measured_on_texts_that_pass_the_base(spark):
+    rows = [(k, "too short", "s") for k in range(300)] + [(1000 + k, " ".join(f"w{k}x{j}#" for j in range(20)), "s") for k in range(20)]
+    measured = rules.costs(frame(spark, rows), rules.RULES, 400)
+    assert sum(n for _, n, _ in measured) == 20 and all(mask & 1 for mask, *_ in measured)
 
 
 # --- token counts ----------------------------------------------------------------------------------------------------
@@ -348,6 +356,28 @@ def test_counts_against_plain_dynamic_programming():
         assert own.count(text) == (best[-1][1], best[-1][0])
 
 
+def test_long_unbroken_texts_in_little_memory(monkeypatch):
+    """Blocks, rings and long chunks change no count; memory doesn't grow with a text that has no break."""
+    import tracemalloc
+
+    rng, scores = random.Random(3), {}
+    for _ in range(30):
+        scores["".join(rng.choice("ab▁日") for _ in range(rng.randint(1, 5)))] = float(-rng.randint(1, 7))
+    scores = {p: v for p, v in scores.items() if "▁" not in p[1:]}
+    texts = ["".join(rng.choice("aab 日\nc") for _ in range(rng.randint(1, 400))) for _ in range(40)]
+    plain = [tokens.Counter(scores).count(t) for t in texts]
+    monkeypatch.setattr(tokens, "BLOCK", 7)
+    monkeypatch.setattr(tokens, "LONG", 3)
+    assert [tokens.Counter(scores, 500).count(t) for t in texts] == plain
+    own = tokens.counter(tokens.default_path())
+    text = "日本語" * 300_000
+    tracemalloc.start()
+    n, _ = own.count(text)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert n == own.count("日本語")[0] * 300_000 - 299_999 * (own.count("日本語")[0] - own.best("日本語")[0]) and peak < 8 * len(text)
+
+
 def test_counts_on_odd_rows(spark):
     rows = odd_rows()
     own = tokens.counter(tokens.default_path())

@@ -5,7 +5,8 @@ carries the best score and the number of tokens to each place; no segmentation i
 unigram tokenizer: among equal scores the piece that starts first wins, and an unknown character is tried last.
 
 A piece has its space mark only in front, so a text falls apart into chunks in front of its space marks and at line
-feeds, and chunks are counted once and remembered.
+feeds, and chunks are counted once and remembered. The search holds as many places as the longest piece has characters, so a
+long text without any break needs no more memory than itself.
 
 The vocabulary is that of a public file with the scores that it states; tokenizers are never trained. Characters in no
 piece fall back to their UTF-8 bytes, a token each.
@@ -26,8 +27,10 @@ from pyspark.sql import DataFrame
 from .common import texts_of
 
 SPACE, PENALTY = "▁", 10.0
-#: Chunks remembered by a worker before it starts anew.
-REMEMBERED = 600_000
+#: Characters of chunks, and as many for each entry, that a worker remembers before it starts anew; longer chunks never are.
+REMEMBERED, ENTRY, LONG = 1 << 27, 200, 64
+#: Characters of a text taken up at once; where a chunk always ends.
+BLOCK, BREAK = 1 << 20, re.compile(f"[^{SPACE}\n](?={SPACE})|\n")
 CHUNK = re.compile(f"{SPACE}+[^{SPACE}\n]*|[^{SPACE}\n]+|\n")
 _COUNTERS: dict[str, Counter] = {}
 
@@ -51,50 +54,74 @@ class Counter:
         self.found.make_automaton()
         self.unknown = min(scores.values(), default=0.0) - PENALTY
         self.whole = any("\n" in p or SPACE in p.lstrip(SPACE) for p in scores)  # then texts don't fall apart
-        self.remembered, self.counts, self.scores = remembered, {}, {}
+        self.longest = max(map(len, scores), default=1)
+        self.remembered, self.held, self.counts, self.scores = remembered, 0, {}, {}
 
     def best(self, chunk: str) -> tuple[int, float]:
-        """(tokens, score) of the best path through the chunk."""
-        n = len(chunk)
-        score, count = [None] * (n + 1), [0] * (n + 1)
+        """(tokens, score) of the best path through the chunk. Only the places that a piece can start from are held."""
+        n, ring = len(chunk), min(len(chunk) + 1, self.longest + 1)
+        score, count = [None] * ring, [0] * ring
         score[0] = 0.0
-        at = 0  # ends before this are settled
+        at = here = 0  # ends before this are settled
+        single = False
 
-        def settle(end: int, single: bool) -> None:
-            if not single:
-                tried = score[end - 1] + self.unknown
-                if score[end] is None or tried > score[end]:
-                    score[end], count[end] = tried, count[end - 1] + len(chunk[end - 1].encode())
+        def settle() -> None:
+            if at and not single:
+                before = (at - 1) % ring
+                tried = score[before] + self.unknown
+                if score[here] is None or tried > score[here]:
+                    score[here], count[here] = tried, count[before] + len(chunk[at - 1].encode())
 
-        single = False
         for last, (size, gain) in self.found.iter(chunk):
             while at <= last:
-                if at:
-                    settle(at, single)
+                settle()
                 at, single = at + 1, False
-            tried = score[at - size] + gain  # longest first: on equal scores the first stays
-            if score[at] is None or tried > score[at]:
-                score[at], count[at] = tried, count[at - size] + 1
+                here = at % ring
+                score[here] = None
+            start = (at - size) % ring
+            tried = score[start] + gain  # longest first: on equal scores the first stays
+            if score[here] is None or tried > score[here]:
+                score[here], count[here] = tried, count[start] + 1
             single = single or size == 1
-        while at <= n:
-            if at:
-                settle(at, single)
+        while at < n:
+            settle()
             at, single = at + 1, False
-        return count[n], score[n]
+            here = at % ring
+            score[here] = None
+        settle()
+        return count[here], score[here]
 
     def count(self, text: str) -> tuple[int, float]:
         if not text:
             return 0, 0.0
         marked = SPACE + text.replace(" ", SPACE)
-        chunks = [marked] if self.whole else CHUNK.findall(marked)
+        if self.whole:
+            return self.best(marked)
+        tokens, total, at = 0, 0.0, 0
+        while at < len(marked):
+            found = BREAK.search(marked, at + BLOCK) if len(marked) - at > BLOCK else None
+            end = found.start() + 1 if found else len(marked)
+            n, score = self._block(marked[at:end] if at or found else marked)
+            tokens, total, at = tokens + n, total + score, end
+        return tokens, total
+
+    def _block(self, marked: str) -> tuple[int, float]:
         counts, scores = self.counts, self.scores
-        if len(counts) > self.remembered:
+        chunks = CHUNK.findall(marked)
+        if self.held > self.remembered:
             counts.clear()
             scores.clear()
+            self.held = 0
+        long = 0, 0.0
+        if len(marked) > LONG and max(map(len, chunks)) > LONG:
+            once = [self.best(x) for x in chunks if len(x) > LONG]
+            long = sum(n for n, _ in once), sum(s for _, s in once)
+            chunks = [x for x in chunks if len(x) <= LONG]
         for new in set(chunks):
             if new not in counts:
                 counts[new], scores[new] = self.best(new)
-        return sum(map(counts.__getitem__, chunks)), sum(map(scores.__getitem__, chunks))
+                self.held += len(new) + ENTRY
+        return sum(map(counts.__getitem__, chunks)) + long[0], sum(map(scores.__getitem__, chunks)) + long[1]
 
 
 def counter(path: str) -> Counter:
