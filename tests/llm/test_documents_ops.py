@@ -426,6 +426,73 @@ def test_sniffing_confirms_structure(spark):
     assert [c.type for c in got[4].carved] == ["image/png", "image/gif"] and got[4].carved[0].sha256 == hashlib.sha256(png()).hexdigest()
 
 
+def naive_feature(media_bytes, carved):
+    return f"audio/wav;corrected=1;carved={len(carved)};bytes={sum(map(len, carved))}"
+
+
+def test_features_and_stored_bytes_against_a_container_built_by_the_standard_library(spark):
+    import io
+    import wave
+
+    gif = "GIF89a\1\0\1\0\0\0\0,\0\0\0\0\1\0\1\0\0\2\2D\1\0;"
+    rows = [(1, "plain text", []), (2, "a {\\rtf1 b} c", ["{\\rtf1 b}"]), (3, f"x{gif}y", [gif]), (4, "%PDF-1 a %%EOF b %%EOF c", ["%PDF-1 a %%EOF b %%EOF"]), (5, None, []), (6, "{\\rtf open", [])]
+    got = {r.doc_id: r for r in media.store_and_sniff(frame(spark, [(d, t, "s") for d, t, _ in rows])).collect()}
+    for d, t, carved in rows:
+        raw = (t or "").encode()
+        payload, out = raw + b"\0" * ((-len(raw)) % 64 or (0 if raw else 64)), io.BytesIO()
+        with wave.open(out, "wb") as w:
+            w.setnchannels(1)
+            w.setsampwidth(1)
+            w.setframerate(8000)
+            w.writeframes(payload)
+        assert got[d].media_sha256 == hashlib.sha256(out.getvalue()).hexdigest() and got[d].media_bytes == len(out.getvalue())
+        assert got[d].feature == naive_feature(out.getvalue(), [c.encode() for c in carved])
+
+
+def ole(sectors):
+    """A compound file of one table sector and so many sectors of data."""
+    head = b"\xd0\xcf\x11\xe0\xa1\xb1\x1a\xe1" + bytes(16) + b"\x3e\0\3\0\xfe\xff\x09\0\6\0" + bytes(10) + (1).to_bytes(4, "little") + bytes(20)
+    head += b"\xfe\xff\xff\xff" + bytes(4) + (0).to_bytes(4, "little") + b"\xff\xff\xff\xff" * 108
+    table = b"\xfd\xff\xff\xff" + b"\xfe\xff\xff\xff" * sectors + b"\xff\xff\xff\xff" * (127 - sectors)
+    return head + table + b"d" * 512 * sectors
+
+
+def test_lengths_of_formats():
+    import io
+    import zipfile
+
+    found, out, outer = media.automaton(), io.BytesIO(), io.BytesIO()
+    with zipfile.ZipFile(out, "w") as z:
+        z.writestr("a.txt", "x" * 50)
+    with zipfile.ZipFile(outer, "w") as z:  # stored, not compressed: its end record lies within
+        z.writestr("in.zip", out.getvalue())
+        z.writestr("b.txt", "y")
+    jpeg = b"\xff\xd8\xff\xe0\0\4ab\xff\xda\0\2scan\xff\0\xff\xd0more\xff\xc4\0\6\xff\xd9zz\xff\xda\0\2again\xff\xd9"
+    flac = b"fLaC\0\0\0\x22" + bytes(34) + b"\x84\0\0\5hello\xff\xf8frames"
+    ogg = b"OggS\0" + bytes(21) + b"\2\3\4" + b"x" * 7 + b"OggS\0" + bytes(21) + b"\1\1" + b"y"
+    pdf = b"%PDF-1.4 one %%EOF two %%EOF"
+    rtf = b"{\\rtf1 {a} \\} \\{ b}"
+    for kind, part in (("application/zip", outer.getvalue()), ("image/jpeg", jpeg), ("application/ogg", ogg), ("application/pdf", pdf), ("application/rtf", rtf), ("application/x-ole-storage", ole(3)), ("image/png", png())):
+        assert media.sniff(b"--" + part + b"--tail", found)[1] == [(kind, 2, len(part))], kind
+        assert media.sniff(part, found)[0] == kind
+        if kind not in ("application/pdf", "application/ogg"):  # these are whole up to an earlier end
+            assert 2 not in [start for _, start, _ in media.sniff(b"--" + part[:-1], found)[1]], kind
+    assert media.sniff(b"--" + flac + png(), found)[1] == [("audio/flac", 2, len(flac)), ("image/png", 2 + len(flac), len(png()))]
+
+
+@pytest.mark.parametrize("unit", [b"{\\rtf ", b"\xff\xd8\xff\xda\0\2", b"\xff\xd8\xff\xe0\0\2", b"%PDF-1", b"PK\3\4", b"GIF89a\1\0\1\0\0\0\0!\0\1", b"OggS\0" + bytes(22), b"fLaC\0\0\0\x22"])
+def test_many_false_hits_cost_little(unit):
+    import time
+
+    found, took = media.automaton(), []
+    for n in (1 << 18, 1 << 20):
+        content = unit * (n // len(unit))
+        start = time.perf_counter()
+        media.sniff(content, found)
+        took.append(time.perf_counter() - start)
+    assert took[1] < max(2.0, 12 * took[0])
+
+
 # --- mixing ----------------------------------------------------------------------------------------------------------
 
 

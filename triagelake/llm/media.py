@@ -1,8 +1,12 @@
 """Media columns: signature sniffing.
 
-An Aho-Corasick automaton finds every magic number in the stored bytes in one pass. At each hit a validator of that
-format reads the structure that the format promises (chunk lengths, checksums, trailers); only what is confirmed counts.
-A confirmed hit at the start gives the true type, which corrects a declared one; confirmed hits further in are carved.
+An Aho-Corasick automaton finds every magic number and trailer in the stored bytes in one pass. At each hit a validator of
+that format reads the structure that the format promises (chunk lengths, checksums, trailers, sector tables); only what is
+confirmed counts. A confirmed hit at the start gives the true type, which corrects a declared one; confirmed hits further
+in are carved. FLAC frames bear no length: a stream ends where the next confirmed medium begins, or at the end.
+
+Bytes with many false hits cost no more than others: trailers and braces are located once and looked up by binary search,
+and what a walk from one place found is remembered for the walks that come by there.
 
 Payloads are stored losslessly as 8-bit mono samples in a RIFF/WAVE container and read back through the same sniffing.
 
@@ -13,10 +17,13 @@ columns are read, so other columns can't clash.
 
 from __future__ import annotations
 
+import bisect
+import functools
 import hashlib
+import re
 import struct
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import ahocorasick
 import pyarrow as pa
@@ -39,17 +46,78 @@ MAGIC = {
 }
 EMPTY, UNKNOWN = "application/x-empty", "application/octet-stream"
 BLOCK, RATE = 64, 8000
+#: The type that the query's column is said to have.
+DECLARED = "text/plain"
+
+
+#: The trailers that end a PDF and a ZIP archive.
+PDF_END, ZIP_END = b"%%EOF", b"PK\x05\x06"
 
 
 def automaton() -> ahocorasick.Automaton:
     found = ahocorasick.Automaton()
-    for magic, kind in MAGIC.items():
+    for magic, kind in (MAGIC | {PDF_END: PDF_END, ZIP_END: ZIP_END}).items():
         found.add_word(magic.decode("latin-1"), (magic, kind))
     found.make_automaton()
     return found
 
 
-def _wav(b: bytes, at: int) -> int:
+class Places:
+    """What validators look up in one content: trailers and headers by place, matching braces, and walks done before."""
+
+    def __init__(self, content: bytes, hits: list[tuple[int, object]]) -> None:
+        self.content, self.hits, self.done = content, hits, {}
+
+    @functools.cached_property
+    def pdf(self) -> tuple[list[int], list[int]]:
+        return [at for at, kind in self.hits if kind == "application/pdf"], [at for at, kind in self.hits if kind == PDF_END]
+
+    @functools.cached_property
+    def zip(self) -> dict[int, int]:
+        """Where an archive begins, by the sizes in its end record, to the end of its first such record."""
+        b, found = self.content, {}
+        for end in (at for at, kind in self.hits if kind == ZIP_END):
+            if end + 22 <= len(b):
+                size, start, note = struct.unpack("<IIH", b[end + 12 : end + 22])
+                if end + 22 + note <= len(b):
+                    found.setdefault(end - size - start, end + 22 + note)
+        return found
+
+    @functools.cached_property
+    def braces(self) -> tuple[list[int], list[int], dict[int, list[int]]]:
+        """Places of braces that no backslash escapes, the depth after each, and the closing ones by that depth."""
+        at, depths, closing, depth = [], [], {}, 0
+        for m in BRACE.finditer(self.content):
+            c = m[0][-1:]
+            if c in b"{}" and len(m[0]) == 1:
+                depth += 1 if c == b"{" else -1
+                at.append(m.start())
+                depths.append(depth)
+                if c == b"}":
+                    closing.setdefault(depth, []).append(m.start())
+        return at, depths, closing
+
+    def walk(self, kind: str, pos: int, step: Callable[[int], tuple[int, int]]) -> int:
+        """Follows (end if found, next place) from ``pos``; places of one kind that were passed before give their result."""
+        passed = []
+        while True:
+            if (kind, pos) in self.done:
+                end = self.done[kind, pos]
+                break
+            passed.append(pos)
+            end, pos = step(pos)
+            if end or pos < 0:
+                break
+        for p in passed:
+            self.done[kind, p] = end
+        return end
+
+
+#: A backslash with what it escapes, or a brace.
+BRACE = re.compile(rb"\\.|[{}]", re.S)
+
+
+def _wav(b: bytes, at: int, places: Places) -> int:
     if len(b) < at + 12 or b[at + 8 : at + 12] != b"WAVE":
         return 0
     end, pos, seen = at + 8 + int.from_bytes(b[at + 4 : at + 8], "little"), at + 12, set()
@@ -62,103 +130,148 @@ def _wav(b: bytes, at: int) -> int:
     return end - at if pos == end and {b"fmt ", b"data"} <= seen else 0
 
 
-def _png(b: bytes, at: int) -> int:
-    pos = at + 8
-    while pos + 12 <= len(b):
+def _png(b: bytes, at: int, places: Places) -> int:
+    def step(pos: int) -> tuple[int, int]:
         size, kind = int.from_bytes(b[pos : pos + 4], "big"), b[pos + 4 : pos + 8]
-        if pos + 12 + size > len(b) or (pos == at + 8 and kind != b"IHDR"):
-            return 0
-        if zlib.crc32(b[pos + 4 : pos + 8 + size]) != int.from_bytes(b[pos + 8 + size : pos + 12 + size], "big"):
-            return 0
-        pos += 12 + size
-        if kind == b"IEND":
-            return pos - at
-    return 0
-
-
-def _jpeg(b: bytes, at: int) -> int:
-    pos = at + 2
-    while pos + 4 <= len(b) and b[pos] == 0xFF:
-        if b[pos + 1] == 0xDA:
-            end = b.find(b"\xff\xd9", pos)
-            return end + 2 - at if end >= 0 else 0
+        if pos + 12 + size > len(b) or zlib.crc32(memoryview(b)[pos + 4 : pos + 8 + size]) != int.from_bytes(b[pos + 8 + size : pos + 12 + size], "big"):
+            return 0, -1
+        return (pos + 12 + size if kind == b"IEND" else 0), pos + 12 + size
+
+    end = places.walk("png", at + 8, step) if b[at + 12 : at + 16] == b"IHDR" else 0
+    return max(0, end - at)
+
+
+def _jpeg(b: bytes, at: int, places: Places) -> int:
+    """Segments by their lengths, scans up to the next marker that isn't a restart, to the end of image."""
+
+    def step(pos: int) -> tuple[int, int]:
+        if pos + 2 > len(b) or b[pos] != 0xFF:
+            return 0, -1
+        kind = b[pos + 1]
+        if kind == 0xD9:
+            return pos + 2, -1
         size = int.from_bytes(b[pos + 2 : pos + 4], "big")
-        if size < 2:
-            return 0
-        pos += 2 + size
-    return 0
+        if kind < 0xC0 or kind == 0xD8 or size < 2:
+            return 0, -1
+        if kind != 0xDA:
+            return 0, pos + 2 + size
+        marker = SCAN_END.search(b, pos + 2 + size)
+        return (0, marker.start()) if marker else (0, -1)
 
+    return max(0, places.walk("jpeg", at + 2, step) - at)
 
-def _gif(b: bytes, at: int) -> int:
-    if len(b) < at + 13:
-        return 0
-    pos = at + 13 + (3 << (b[at + 10] & 7) + 1 if b[at + 10] & 0x80 else 0)
-    while pos < len(b):
-        kind = b[pos]
+
+#: In a scan's data: a marker that is neither a stuffed byte nor a restart.
+SCAN_END = re.compile(rb"\xff[^\x00\xd0-\xd7\xff]")
+
+
+def _gif(b: bytes, at: int, places: Places) -> int:
+    def step(pos: int) -> tuple[int, int]:
+        kind = b[pos] if pos < len(b) else 0
         if kind == 0x3B:
-            return pos + 1 - at
+            return pos + 1, -1
         if kind == 0x21:
             pos += 2
         elif kind == 0x2C and pos + 10 <= len(b):
             pos += 11 + (3 << (b[pos + 9] & 7) + 1 if b[pos + 9] & 0x80 else 0)
         else:
-            return 0
-        while pos < len(b) and b[pos]:
-            pos += 1 + b[pos]
-        pos += 1
-    return 0
+            return 0, -1
+        return 0, places.walk("gif blocks", pos, blocks) or -1
+
+    def blocks(pos: int) -> tuple[int, int]:
+        if pos >= len(b):
+            return 0, -1
+        return (0, pos + 1 + b[pos]) if b[pos] else (pos + 1, -1)
 
+    if len(b) < at + 13:
+        return 0
+    return max(0, places.walk("gif", at + 13 + (3 << (b[at + 10] & 7) + 1 if b[at + 10] & 0x80 else 0), step) - at)
 
-def _pdf(b: bytes, at: int) -> int:
-    end = b.find(b"%%EOF", at)
-    return end + 5 - at if end >= 0 and b[at + 5 : at + 6].isdigit() else 0
 
+def _pdf(b: bytes, at: int, places: Places) -> int:
+    """To the last end mark before the next header: a file saved again has several."""
+    heads, ends = places.pdf
+    k = bisect.bisect_right(heads, at)
+    last = bisect.bisect_left(ends, heads[k] if k < len(heads) else len(b)) - 1
+    return ends[last] + len(PDF_END) - at if last >= 0 and ends[last] > at and b[at + 5 : at + 6].isdigit() else 0
 
-def _zip(b: bytes, at: int) -> int:
-    end = b.find(b"PK\x05\x06", at)
-    if end < 0 or end + 22 > len(b):
-        return 0
-    size, start, note = *struct.unpack("<II", b[end + 12 : end + 20]), int.from_bytes(b[end + 20 : end + 22], "little")
-    return end + 22 + note - at if at + start + size == end and end + 22 + note <= len(b) else 0
 
+def _zip(b: bytes, at: int, places: Places) -> int:
+    """To the end record whose sizes lead back here, so that archives within the archive don't end it."""
+    return max(0, places.zip.get(at, 0) - at)
 
-def _bmp(b: bytes, at: int) -> int:
+
+def _bmp(b: bytes, at: int, places: Places) -> int:
     if len(b) < at + 26:
         return 0
     size, spare, pixels = struct.unpack("<III", b[at + 2 : at + 14])
     return size if not spare and 26 <= pixels <= size <= len(b) - at and b[at + 14] in (12, 40, 108, 124) else 0
 
 
-def _flac(b: bytes, at: int) -> int:
-    return len(b) - at if b[at + 4 : at + 8] in (b"\x00\x00\x00\x22", b"\x80\x00\x00\x22") and len(b) >= at + 42 else 0
+def _flac(b: bytes, at: int, places: Places) -> int:
+    """To the first frame's header, behind all metadata blocks."""
+
+    def step(pos: int) -> tuple[int, int]:
+        if pos + 4 > len(b):
+            return 0, -1
+        after = pos + 4 + int.from_bytes(b[pos + 1 : pos + 4], "big")
+        if b[pos] & 0x80:
+            return (after if b[after : after + 1] == b"\xff" and b[after + 1 : after + 2] in (b"\xf8", b"\xf9") else 0), -1
+        return 0, after
 
+    stream = b[at + 4 : at + 5] in (b"\x00", b"\x80") and b[at + 5 : at + 8] == b"\x00\x00\x22"
+    return max(0, places.walk("flac", at + 4, step) - at) if stream else 0
 
-def _ogg(b: bytes, at: int) -> int:
-    pos = at
-    while b[pos : pos + 5] == b"OggS\x00" and pos + 27 <= len(b):
-        n = b[pos + 26]
-        pos += 27 + n + sum(b[pos + 27 : pos + 27 + n])
-    return pos - at if at < pos <= len(b) else 0
 
+def _ogg(b: bytes, at: int, places: Places) -> int:
+    """All pages that follow each other whole."""
 
-def _rtf(b: bytes, at: int) -> int:
-    depth, pos = 0, at
-    while pos < len(b):
-        c = b[pos]
-        if c == 0x5C:
-            pos += 1
-        elif c == 0x7B:
-            depth += 1
-        elif c == 0x7D:
-            depth -= 1
-            if not depth:
-                return pos + 1 - at
-        pos += 1
-    return 0
+    def step(pos: int) -> tuple[int, int]:
+        n = b[pos + 26] if pos + 27 <= len(b) else 0
+        after = pos + 27 + n + sum(b[pos + 27 : pos + 27 + n])
+        if b[pos : pos + 5] != b"OggS\x00" or pos + 27 > len(b) or after > len(b):
+            return pos, -1
+        return 0, after
 
+    return max(0, places.walk("ogg", at, step) - at)
 
-def _ole(b: bytes, at: int) -> int:
-    return len(b) - at if len(b) >= at + 512 and b[at + 28 : at + 30] == b"\xfe\xff" else 0
+
+def _rtf(b: bytes, at: int, places: Places) -> int:
+    """To the brace that closes the first one."""
+    braces, depths, closing = places.braces
+    k = bisect.bisect_right(braces, at) - 1
+    found = closing.get((depths[k] if k >= 0 else 0) - 1, [])
+    k = bisect.bisect_right(found, at)
+    return found[k] + 1 - at if k < len(found) else 0
+
+
+def _ole(b: bytes, at: int, places: Places) -> int:
+    """As many sectors as the sector table has in use."""
+    if len(b) < at + 512 or b[at + 28 : at + 30] != b"\xfe\xff":
+        return 0
+    shift, tables, more = b[at + 30], int.from_bytes(b[at + 44 : at + 48], "little"), int.from_bytes(b[at + 68 : at + 72], "little")
+    if shift not in (9, 12):
+        return 0
+    size = 1 << shift
+    if not 0 < tables <= (len(b) - at) // size:
+        return 0
+    sectors = list(struct.unpack("<109I", b[at + 76 : at + 512]))
+    while len(sectors) < tables and more < 0xFFFFFFFA:  # the list of tables goes on in sectors of its own
+        part = b[at + size * (more + 1) : at + size * (more + 2)]
+        if len(part) < size:
+            return 0
+        *listed, more = struct.unpack(f"<{size // 4}I", part)
+        sectors += listed
+    used = 0
+    for k, sector in enumerate(sectors[:tables]):
+        part = b[at + size * (sector + 1) : at + size * (sector + 2)]
+        if len(part) < size:
+            return 0
+        entries = struct.unpack(f"<{size // 4}I", part)
+        taken = [i for i, x in enumerate(entries) if x != 0xFFFFFFFF]
+        used = max(used, k * (size // 4) + taken[-1] + 1) if taken else used
+    length = size * (used + 1)
+    return length if used and at + length <= len(b) else 0
 
 
 VALIDATORS = {
@@ -167,22 +280,34 @@ VALIDATORS = {
 }
 
 
+#: Formats without a length: they reach to the next medium.
+OPEN = {"audio/flac"}
+
+
 def sniff(content: bytes, found: ahocorasick.Automaton) -> tuple[str, list[tuple[str, int, int]]]:
     """The type of the whole, and (type, start, length) of the media confirmed within it, outermost only."""
     if not content:
         return EMPTY, []
+    hits = [(end - len(magic) + 1, named) for end, (magic, named) in found.iter(content.decode("latin-1"))]
+    hits.sort(key=lambda hit: hit[0])
+    places = Places(content, hits)
     kind, carved, free = UNKNOWN, [], 0
-    for end, (magic, named) in found.iter(content.decode("latin-1")):
-        at = end - len(magic) + 1
-        if at and at < free:
+    for at, named in hits:
+        if named not in VALIDATORS or at and at < free:
             continue
-        size = VALIDATORS[named](content, at)
+        size = VALIDATORS[named](content, at, places)
         if size and not at:
             kind, free = named, _header(content, named)
         elif size:
-            carved.append((named, at, size))
+            carved.append([named, at, size])
             free = at + size
-    return kind, carved
+    ends = [at for _, at, _ in carved[1:]] + [len(content)]
+    return kind, [(named, at, end - at if named in OPEN else size) for (named, at, size), end in zip(carved, ends)]
+
+
+def corrected(kind: str, declared: str | None) -> str:
+    """The type to go by: the one found, or where nothing is known the declared one."""
+    return kind if kind != UNKNOWN or declared is None else declared
 
 
 def _header(content: bytes, kind: str) -> int:
@@ -223,7 +348,7 @@ def sniff_column(df: DataFrame, key: str, content: str, declared: str | None = N
             for x, was in zip(batch.column(1), said):
                 b = x.as_py() or b""
                 kind, carved = sniff(b, found)
-                types.append(kind if kind != UNKNOWN or was is None else was)
+                types.append(corrected(kind, was))
                 fixed.append(was is not None and was != types[-1])
                 parts.append([{"type": k, "start": s, "length": n, "sha256": hashlib.sha256(b[s : s + n]).hexdigest()} for k, s, n in carved])
             part = pa.list_(pa.struct([("type", pa.string()), ("start", pa.int64()), ("length", pa.int64()), ("sha256", pa.string())]))
@@ -242,7 +367,8 @@ def sniff_column(df: DataFrame, key: str, content: str, declared: str | None = N
 def store_and_sniff(docs: DataFrame) -> DataFrame:
     """doc_id, n_bytes, payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256, feature.
 
-    The feature names the type found for the stored bytes, and the number and bytes of media carved from the payload.
+    What is stored is declared as what it was, ``DECLARED``. The feature names the corrected type, whether that differs,
+    and the number and bytes of media carved from the payload.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -256,7 +382,8 @@ def store_and_sniff(docs: DataFrame) -> DataFrame:
                 media = store(payload)
                 kind, carved = sniff(media, found)
                 back = read_back(media)
-                feature = f"{kind};carved={len(carved)};bytes={sum(c[2] for c in carved)}"
+                true = corrected(kind, DECLARED)
+                feature = f"{true};corrected={int(true != DECLARED)};carved={len(carved)};bytes={sum(c[2] for c in carved)}"
                 rows.append((n, len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-BLOCK:]), len(media), hashlib.sha256(media).hexdigest(), feature))
             kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
             yield pa.RecordBatch.from_arrays(
