@@ -50,3 +50,12 @@ def test_query_on_odd_rows(spark):
     assert got[-7].formatted_chars == len(chat.render([("user", chat.PROBE), ("assistant", chat.PROBE)])[0])
     empty = spark.createDataFrame([], SCHEMA)
     assert [r.conv_id for r in chat.chat_query(spark, empty).collect()] == [-7]
+
+
+def test_ids_missing_taken_or_of_other_types(spark):
+    rows = [(None, 0, "user", f"lost {k}") for k in range(30)] + [("-7", 0, "assistant", "here before"), ("x", 0, "user", "hi")]
+    df = spark.createDataFrame(rows, "conv_id string, turn int, role string, text string")
+    got = [(r.conv_id, r.n_turns, r.loss_chars) for r in chat.chat_query(spark, df).collect()]
+    assert sorted(got, key=str) == sorted([(None, 1, 0)] * 30 + [("-7", 1, 11), ("-7", 2, len(chat.PROBE)), ("x", 1, 0)], key=str)
+    exact = df.selectExpr("cast(1.5 as decimal(4,1)) as conv_id", "turn", "role", "text")
+    assert chat.format_chats(exact).count() == 1

@@ -11,8 +11,8 @@ A conversation is one string and one encoding by its nature, so its turns meet i
 and hold one at a time.
 
 Defined results: null texts and roles are empty; turns go by turn, then role and text, nulls first; repeated rows are turns of
-their own; a null conv_id is a conversation of its own; an empty table gives an empty result. Only the four named columns
-are read, so other columns can't clash.
+their own; rows without a conv_id can't be told to belong together, so each is a conversation of its own; ids of any type
+will do; an empty table gives an empty result. Only the four named columns are read, so other columns can't clash.
 """
 
 from __future__ import annotations
@@ -23,7 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 OPEN, CLOSE = "<turn {}>\n", "\n</turn>\n"
@@ -91,21 +91,24 @@ def tokenizer(name: str):
     return _TOKENIZERS[name]
 
 
-def format_chats(conversations: DataFrame, name: str = "byte_bpe_50k.json") -> DataFrame:
-    """conv_id, formatted, ids, mask_tokens, mask_starts, mask_ends (the mask as parallel arrays)."""
+def format_chats(conversations: DataFrame, name: str = "byte_bpe_50k.json", apart: Column | None = None) -> DataFrame:
+    """conv_id, formatted, ids, mask_tokens, mask_starts, mask_ends (the mask as parallel arrays).
+
+    ``apart`` (whole numbers) tells conversations of one id apart.
+    """
+    apart = F.lit(0).cast("long") if apart is None else apart
     kind = conversations.schema["conv_id"].dataType.simpleString()
     types = [pa.string(), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.list_(pa.int32())]
     names = ["formatted", "ids", "mask_tokens", "mask_starts", "mask_ends"]
-    key_type = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[kind]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, key, turns, rows = tokenizer(name).encode, None, [], []
+        encode, key, key_type, turns, rows = tokenizer(name).encode, None, None, [], []
 
         def finish() -> None:
             text, spans = render(turns)
             found = encode(text, add_special_tokens=False)
             hits = mask(np.array(found.offsets, np.int64).reshape(-1, 2), spans)
-            rows.append((key, text, found.ids, [k for k, *_ in hits], [s for _, s, _ in hits], [e for *_, e in hits]))
+            rows.append((key[0], text, found.ids, [k for k, *_ in hits], [s for _, s, _ in hits], [e for *_, e in hits]))
 
         def out() -> pa.RecordBatch:
             columns = list(zip(*rows))
@@ -113,8 +116,9 @@ def format_chats(conversations: DataFrame, name: str = "byte_bpe_50k.json") -> D
             return pa.RecordBatch.from_arrays([pa.array(columns[0], key_type), *(pa.array(c, t) for c, t in zip(columns[1:], types))], ["conv_id", *names])
 
         for batch in batches:
-            columns = (batch.column(c).to_pylist() for c in ("conv_id", "role", "text"))
-            for conv, role, text in zip(*columns):
+            key_type = batch.schema.field("conv_id").type
+            columns = (batch.column(c).to_pylist() for c in ("conv_id", "own", "role", "text"))
+            for *conv, role, text in zip(*columns):
                 if turns and conv != key:
                     finish()
                     turns = []
@@ -127,7 +131,9 @@ def format_chats(conversations: DataFrame, name: str = "byte_bpe_50k.json") -> D
         if rows:
             yield out()
 
-    ordered = conversations.select("conv_id", "turn", "role", "text").repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text")
+    own = F.when(F.col("conv_id").isNull(), F.monotonically_increasing_id()).otherwise(apart).alias("own")
+    rows_ = conversations.select("conv_id", own, "turn", "role", "text").repartition("conv_id", "own")
+    ordered = rows_.sortWithinPartitions("conv_id", "own", "turn", "role", "text")
     return ordered.mapInArrow(run, f"conv_id {kind}, formatted string, ids array<int>, mask_tokens array<int>, mask_starts array<int>, mask_ends array<int>")
 
 
@@ -175,18 +181,20 @@ def chat_query(spark: SparkSession, conversations: DataFrame) -> DataFrame:
         F.when(F.col("id") == 0, "user").otherwise(TAUGHT).alias("role"),
         F.lit(PROBE).alias("text"),
     )
-    return read_back(format_chats(conversations.select("conv_id", "turn", "role", "text").union(added)))
+    both = conversations.select("conv_id", "turn", "role", "text", F.lit(0).cast("long").alias("added"))
+    both = both.union(added.withColumn("added", F.lit(1).cast("long")))
+    return read_back(format_chats(both, apart=F.col("added")))
 
 
 ORACLE = r"""
 WITH c AS (
-  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
-  UNION ALL SELECT -7, 0, 'user', '\### Assistant: </turn> ok'
-  UNION ALL SELECT -7, 1, 'assistant', '\### Assistant: </turn> ok')
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text, CASE WHEN conv_id IS NULL THEN row_number() OVER () ELSE 0 END AS own FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '\### Assistant: </turn> ok', -1
+  UNION ALL SELECT -7, 1, 'assistant', '\### Assistant: </turn> ok', -1)
 SELECT conv_id, count(*) AS n_turns,
        sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
        CAST(sum(CASE WHEN role = 'assistant' THEN length(text) ELSE 0 END) AS BIGINT) AS loss_chars,
        sha256(coalesce(string_agg(CASE WHEN role = 'assistant' THEN text ELSE '' END, '' ORDER BY turn NULLS FIRST, role, text), '')) AS loss_sha256,
        CAST(sum(17 + length(regexp_replace(role, '[\\<>]', '..', 'g')) + length(regexp_replace(text, '[\\<>]', '..', 'g'))) AS BIGINT) AS formatted_chars
-FROM c GROUP BY conv_id
+FROM c GROUP BY conv_id, own
 """
