@@ -137,12 +137,13 @@ def confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
 
 def near_pairs(batches: Iterator[pa.RecordBatch], radius: int) -> Iterator[pa.RecordBatch]:
-    """Rows (shard, side, fp, root, wide, size, shared) sorted by shard and side to candidate pairs of different components.
+    """Rows (part, side, key, fp, root, wide, size, shared, keys) sorted by part and side to candidate pairs.
 
-    A shard is two blocks that meet, or one with itself; the first side's tree is searched with the other's members. Of
-    what lies within the radius those are left whose shared shingles are enough for the similarity.
+    A part is two blocks of a shard that meet, or one with itself; the first side's tree is searched with the other's
+    members. Of what lies within the radius those are left that are of different components, whose shared shingles are
+    enough for the similarity, and that meet here first: a pair counts in the least of the shards that it shares.
     """
-    shard, tree, first, out = None, simhash.BKTree(), [], []
+    part, tree, first, out = None, simhash.BKTree(), [], []
 
     def passed() -> pa.RecordBatch:
         both = np.array(out, np.int64).reshape(-1, 2)
@@ -150,19 +151,19 @@ def near_pairs(batches: Iterator[pa.RecordBatch], radius: int) -> Iterator[pa.Re
         return pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], ["a", "b"])
 
     for batch in batches:
-        columns = (batch.column(c).to_pylist() for c in ("shard", "side", "fp", "root", "wide", "size", "shared"))
-        for here, side, fp, root, wide, size, shared in zip(*columns):
-            if here != shard:
-                shard, tree, first = here, simhash.BKTree(), []
+        columns = (batch.column(c).to_pylist() for c in ("part", "side", "key", "fp", "root", "wide", "size", "shared", "keys"))
+        for here, side, key, fp, root, wide, size, shared, keys in zip(*columns):
+            if here != part:
+                part, tree, first = here, simhash.BKTree(), []
             value = int.from_bytes(wide, "big")
             if side:  # 1: of the other block; -1: of the only block, against those before it
                 for k in tree.find(value, radius):
-                    other, its_root, its_size, its_shared = first[k]
+                    other, its_root, its_size, its_shared, its_keys = first[k]
                     most = min(shared, its_shared)
-                    if its_root != root and SIMILAR[1] * most >= SIMILAR[0] * (size + its_size - most):
+                    if its_root != root and SIMILAR[1] * most >= SIMILAR[0] * (size + its_size - most) and min(set(keys) & set(its_keys)) == key:
                         out.append((fp, other))
             if side <= 0:
-                first.append((fp, root, size, shared))
+                first.append((fp, root, size, shared, keys))
                 tree.add(value)
         if len(out) > 50_000:
             yield passed()
@@ -205,16 +206,16 @@ def links(docs: DataFrame, fps: DataFrame) -> DataFrame:
     mixed = mixed.select("fp", "key", "root", "stray")
     counts = mixed.groupBy("key").agg(F.sum("stray").alias("strays"), F.count("*").alias("n")).where("strays > 0 and n > 1")
     strays, others = F.ceil(F.col("strays") / BLOCK), F.ceil((F.col("n") - F.col("strays")) / BLOCK)
-    facts = shared_shingles(sets.join(mixed.join(counts, "key").select("fp").distinct(), "fp", "left_semi"))
+    listed = mixed.join(counts, "key").groupBy("fp").agg(F.sort_array(F.collect_list("key")).alias("keys"))  # ``BANDS`` at most
+    facts = shared_shingles(sets.join(listed.select("fp"), "fp", "left_semi")).join(listed, "fp")
     live = mixed.join(counts, "key").withColumn("ahead", strays).withColumn("blocks", strays + others)
     own = F.when(F.col("stray") == 1, F.pmod(F.xxhash64("fp"), F.col("ahead"))).otherwise(F.col("ahead") + F.pmod(F.xxhash64("fp"), F.greatest(F.lit(1), F.col("blocks") - F.col("ahead"))))
     met = live.withColumn("block", own).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.when(F.col("stray") == 1, F.col("blocks")).otherwise(F.col("ahead")) - 1)))
     side = F.when(F.col("block") == F.col("other"), -1).otherwise((F.col("block") > F.col("other")).cast("int"))
-    shard = F.xxhash64("key", F.least("block", "other"), F.greatest("block", "other"))
-    dealt = met.select("fp", "root", shard.alias("shard"), side.alias("side")).join(facts, "fp")
-    dealt = dealt.repartition("shard").sortWithinPartitions("shard", "side")
+    part = F.xxhash64("key", F.least("block", "other"), F.greatest("block", "other"))
+    dealt = met.select("fp", "key", "root", part.alias("part"), side.alias("side")).join(facts, "fp")
+    dealt = dealt.repartition("part").sortWithinPartitions("part", "side")
     pairs = dealt.mapInArrow(released(lambda batches: near_pairs(batches, RADIUS)), "a long, b long")
-    pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     return near.union(confirmed(pairs, sets))
 
 
