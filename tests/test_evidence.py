@@ -1,7 +1,9 @@
 """Evidence: normalisation, the fuzzy window against brute force, pages, and the exact join."""
 
 import random
+import time
 
+import numpy as np
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -21,9 +23,12 @@ def plain_lcs(a, b):
 
 
 @settings(max_examples=80, deadline=None)
-@given(st.text(alphabet="abcd", max_size=20), st.text(alphabet="abcd", max_size=20))
-def test_common_subsequence(a, b):
-    assert E.common_subsequence(a, b) == plain_lcs(a, b)
+@given(st.text(alphabet="abcd", min_size=1, max_size=150), st.text(alphabet="abcde", max_size=150), st.integers(1, 90))
+def test_common_lengths(needle, hay, size):
+    starts = np.arange(max(1, len(hay)))
+    ends = np.minimum(starts + size, len(hay))
+    got = E.Comparison(needle, hay).common(starts[: len(hay)], ends[: len(hay)])
+    assert got.tolist() == [plain_lcs(needle, hay[a:b]) for a, b in zip(starts[: len(hay)], ends)]
 
 
 def test_normalise_keeps_offsets():
@@ -40,28 +45,107 @@ def test_fold_is_normalise(text):
     assert E.fold(text) == E.normalise(text)[0]
 
 
-def test_verify():
-    page = "Intro. The patient’s  FEVER rose to 39 degrees, then fell. End."
-    method, score, a, b, _ = E.verify("the patient's fever rose", page)
-    assert (method, score, page[a:b]) == ("EXACT", 100.0, "The patient’s  FEVER rose")
-    method, score, a, b, note = E.verify("The patients fever rose to 39 degree, then fell", page)
-    assert method == "FUZZY" and 90 <= score < 100 and "not verbatim" in note
-    assert E.verify("nothing of the kind occurs here at all", page)[0] == "FAILED"
-    assert E.verify(" ", page)[4] == "no quote supplied" and E.verify("x", "")[4].startswith("source page")
-
-
-def test_fuzzy_window_against_all_windows():
-    rng = random.Random(4)
-    for _ in range(40):
-        hay = "".join(rng.choice("abcde ") for _ in range(120))
-        at = rng.randrange(90)
-        needle = hay[at : at + 24]
-        spoiled = "".join(c if rng.random() > 0.04 else "z" for c in needle)
-        best = max(E.similarity(spoiled, hay[k : k + len(spoiled)]) for k in range(len(hay) - len(spoiled) + 1))
-        found = E.fuzzy_window(spoiled, hay)
-        assert found is None or found[2] <= best + 1e-9
-        if spoiled == needle and at % (len(needle) // 4) == 0:  # where the coarse steps come by
-            assert found and found[2] == 100.0
+def naive_similarity(a, b):
+    return 200.0 * plain_lcs(a, b) / (len(a) + len(b))
+
+
+def naive_verdict(quote, page):
+    """(method, score to 6 digits, start, end, note), by plain loops over windows."""
+    if not (quote or "").strip():
+        return "FAILED", 0.0, None, None, "no quote supplied"
+    if not (page or "").strip():
+        return "FAILED", 0.0, None, None, "source page has no text to search"
+    needle, (hay, at) = E.normalise(quote)[0], E.normalise(page)
+    if not needle:
+        return "FAILED", 0.0, None, None, "quote normalised to nothing"
+    if needle in hay:
+        k = hay.index(needle)
+        return "EXACT", 100.0, at[k], at[k + len(needle) - 1] + 1, ""
+    n, short, long = len(needle), *sorted((needle, hay), key=len)
+    every = max((naive_similarity(short, long[max(0, k) : k + len(short)]) for k in range(1 - len(short), len(long))), default=0.0)
+    if n <= len(hay):
+        step, best = max(1, n // 4), None
+        for k in range(0, len(hay) - n + 1, step):
+            score = naive_similarity(needle, hay[k : k + n])
+            if best is None or score > best[1]:
+                best = k, score
+        if best[1] >= 90:
+            for k in range(max(0, best[0] - step), min(len(hay) - n, best[0] + step) + 1) if best[0] >= 0 else ():
+                score = naive_similarity(needle, hay[k : k + n])
+                if score > best[1]:
+                    best = k, score
+            return "FUZZY", round(best[1], 6), at[best[0]], at[best[0] + n - 1] + 1, f"matched at {best[1]:.0f}% similarity, not verbatim"
+    elif every >= 90:
+        return "FUZZY", round(every, 6), 0, at[-1] + 1, f"matched at {every:.0f}% similarity, not verbatim"
+    return "FAILED", round(every, 6), None, None, f"quote not found in the cited source (best similarity {every:.0f}%)"
+
+
+def spoilt(rng, text, share):
+    return "".join(rng.choice("xyz") if rng.random() < share else c for c in text)
+
+
+def citations(seed, units):
+    """Quotes of all kinds and the pages of their units."""
+    rng = random.Random(seed)
+    words = ["".join(rng.choice("abcdeß ") for _ in range(rng.randint(2, 6))) for _ in range(40)]
+    pages, quotes = [], []
+    for u in range(units):
+        texts = [" ".join(rng.choice(words) for _ in range(rng.randint(8, 30))) for _ in range(rng.randint(1, 4))]
+        pages += [(u, k + 1, t) for k, t in enumerate(texts)]
+        for k in range(5):
+            page = rng.randrange(len(texts))
+            a = rng.randrange(20)
+            quote = spoilt(rng, texts[page][a : a + rng.randint(8, 70)], rng.choice([0, 0.03, 0.1, 0.4]))
+            quotes.append((10 * u + k, u, rng.choice([page + 1, 1, None, 9]), quote))
+    pages += [(90, 1, None), (91, 1, "only page")]
+    quotes += [(900, 90, 1, "lost"), (901, 91, 1, "no such words at all"), (902, 91, None, "only page"), (903, 99, 1, "no unit"), (904, None, 1, "x"), (905, 0, 1, None), (906, 0, 1, " ")]
+    return quotes, pages
+
+
+def test_verdicts_against_plain_loops():
+    quotes, pages = citations(2, 12)
+    text, seen = {(u, p): t for u, p, t in pages}, set()
+    for _, unit, _, quote in quotes:
+        for (u, _), page in text.items():
+            if u == unit:
+                got = E.verdict(quote, page)
+                assert (got.method, round(got.match_score, 6), *got[2:]) == naive_verdict(quote, page)
+                seen.add(got.method)
+    assert seen == {"EXACT", "FUZZY", "FAILED"}
+    assert E.verdict("\ufeff", "a").note == "quote normalised to nothing" and E.verdict("long quote here", "ong quote her").method == "FUZZY"
+
+
+def test_every_quote_gets_its_verdict(spark):
+    quotes, pages = citations(5, 10)
+    want = {}
+    for q, unit, cited, quote in quotes:
+        own = {p: t for u, p, t in pages if u == unit}
+        tried = {p: naive_verdict(quote, t) for p, t in own.items()}
+        if cited in own and tried[cited][0] != "FAILED":
+            want[q] = (cited, *tried[cited])
+            continue
+        good = [p for p in sorted(own) if p != cited and tried[p][0] != "FAILED"]
+        if good:
+            *found, note = tried[good[0]]
+            said = f"found on page {good[0]}, but the model cited page {cited}" if cited is not None else ""
+            want[q] = (good[0], *found, "; ".join(x for x in (said, note) if x))
+        else:
+            rest = [p for p in sorted(own) if p != cited]
+            best = max(rest, key=lambda p: (tried[p][1], -p), default=None)
+            want[q] = (cited, *(tried[best] if best else ("FAILED", 0.0, None, None, "no source pages available to verify against")))
+    got = V.verify_quotes(
+        spark.createDataFrame(quotes, "quote_id long, unit_id long, cited_page long, quote string"), spark.createDataFrame(pages, "unit_id long, page_no long, text string")
+    ).collect()
+    assert len(got) == len(quotes)
+    assert {r.quote_id: (r.page_id, r.method, round(r.match_score, 6), r.char_start, r.char_end, r.note) for r in got} == want
+    assert {w[1] for w in want.values()} == {"EXACT", "FUZZY", "FAILED"}
+
+
+def test_a_long_failure_is_found_fast():
+    rng, took = random.Random(1), time.perf_counter()
+    page = " ".join("".join(rng.choice("abcdefgh") for _ in range(6)) for _ in range(1500))
+    assert E.verdict("".join(rng.choice("ijklmnab ") for _ in range(210)), page).method == "FAILED"
+    assert time.perf_counter() - took < 1.5
 
 
 def test_exact_pairs_against_search(spark):
@@ -87,7 +171,7 @@ def test_best_page(spark):
     ]
     df = spark.createDataFrame(rows, "quote_id long, page_id long, cited_page long, method string, match_score double, note string")
     got = {r.quote_id: (r.page_id, r.note) for r in V.best_page(df).collect()}
-    assert got == {1: (3, "x"), 2: (6, "found on page 6, but page 3 was cited"), 3: (2, "b"), 4: (8, "")}
+    assert got == {1: (3, "x"), 2: (6, "found on page 6, but the model cited page 3"), 3: (9, "b"), 4: (8, "")}
 
 
 def test_caps(spark):

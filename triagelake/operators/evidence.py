@@ -1,5 +1,7 @@
 """Evidence over tables: which quotes occur in which pages, and what that does to confidence.
 
+A quote that cites a source is verified against that source's pages, joined by the source's id; every quote gets a verdict.
+
 Quotes and pages never meet in a cross join. A quote of six words or more can occur only where the four words after its
 first do, so quotes and pages join by the hash of those words; only candidate pairs are compared. Shorter quotes are looked
 for by one Aho-Corasick automaton in blocks of bounded size.
@@ -9,13 +11,12 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..config import SETTINGS
-from ..functions.evidence import fold, verify
+from ..functions.evidence import NOTES, Verdict, fold, verdict
 
 KEY_WORDS, LEAST_WORDS = 4, 6
 #: Bytes of short quotes that are searched for at once.
@@ -93,29 +94,54 @@ def _automaton_pairs(found_quotes: DataFrame, pages: DataFrame) -> DataFrame:
 RESULT = "method string, match_score double, char_start long, char_end long, note string"
 
 
-def verify_pairs(pairs: DataFrame) -> DataFrame:
-    """(quote_id, page_id, quote, text) with the verdict of each pair; the slow path, for candidates only."""
+def verify_pairs(pairs: DataFrame, rate: bool = True) -> DataFrame:
+    """(quote_id, page_id, quote, text, ...) with the verdict of each pair in place of both texts; ``rate`` scores failures."""
+    others = [c for c in pairs.columns if c not in ("quote", "text")]
+    kinds = [pa.string(), pa.float64(), pa.int64(), pa.int64(), pa.string()]
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [verify(q, t) for q, t in zip(batch["quote"], batch["text"])]
-            out = batch[["quote_id", "page_id"]].copy()
-            for k, name in enumerate(("method", "match_score", "char_start", "char_end", "note")):
-                out[name] = pd.Series([r[k] for r in found], index=out.index, dtype="Int64" if name.startswith("char") else None)
-            yield out
+            found = [verdict(q.as_py(), t.as_py(), rate=rate) for q, t in zip(batch.column("quote"), batch.column("text"))]
+            columns = [pa.array([v[k] for v in found], kind) for k, kind in enumerate(kinds)]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in others), *columns], [*others, *Verdict._fields])
+
+    schema = ", ".join(f"`{c}` {pairs.schema[c].dataType.simpleString()}" for c in others)
+    tasks = int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # a pair costs far more to compare than to move
+    return pairs.select(*others, "quote", "text").repartition(tasks, "quote_id", "page_id").mapInArrow(run, f"{schema}, {RESULT}")
 
-    kinds = {c: pairs.schema[c].dataType.simpleString() for c in ("quote_id", "page_id")}
-    return pairs.select("quote_id", "page_id", "quote", "text").mapInPandas(run, f"quote_id {kinds['quote_id']}, page_id {kinds['page_id']}, {RESULT}")
+
+def verify_quotes(quotes: DataFrame, pages: DataFrame) -> DataFrame:
+    """A verdict for every quote (quote_id, unit_id, cited_page, quote) by the pages (unit_id, page_no, text) of its unit.
+
+    The cited page is tried first. Quotes that it doesn't prove go to the other pages of their unit: the first that proves
+    the quote is the page, and the note says so; else the best of those pages' failures is reported for the cited page.
+    """
+    at = pages.select(F.col("unit_id").alias("unit"), F.col("page_no").alias("page_id"), "text")
+    of_unit = F.col("unit_id").eqNullSafe(F.col("unit"))
+    key = ("quote_id", "cited_page")
+    done = lambda found: found.select(F.col("quote_id").alias("done"))
+    without = lambda found, rows: rows.join(done(found), F.col("quote_id") == F.col("done"), "left_anti")
+    cited = quotes.join(at, of_unit & (F.col("cited_page") == F.col("page_id"))).select(*key, "page_id", "quote", "text")
+    proved = verify_pairs(cited, rate=False).where("method != 'FAILED'")
+    others = without(proved, quotes).join(at, of_unit & ~F.col("cited_page").eqNullSafe(F.col("page_id")), "left")
+    tried = others.where("page_id is not null").select(*key, "page_id", "quote", "text")
+    elsewhere = best_page(verify_pairs(tried, rate=False).where("method != 'FAILED'"))
+    failed = best_page(verify_pairs(without(elsewhere, tried)))
+    untried = others.where("page_id is null").select(*key)
+    none = {"page_id": F.col("cited_page"), "method": F.lit("FAILED"), "match_score": F.lit(0.0), "char_start": F.lit(None).cast("long"), "char_end": F.lit(None).cast("long"), "note": F.lit(NOTES["no pages"])}
+    return proved.unionByName(elsewhere).unionByName(failed).unionByName(untried.withColumns(none))
 
 
 def best_page(results: DataFrame) -> DataFrame:
-    """One verdict a quote: the cited page if it proves the quote, else the first page that does, else the best failure."""
-    proved, cited = F.col("method") != "FAILED", F.col("page_id").eqNullSafe(F.col("cited_page"))
-    order = Window.partitionBy("quote_id").orderBy(proved.desc(), F.when(proved, cited).desc(), F.when(proved, F.lit(0.0)).otherwise(F.col("match_score")).desc(), "page_id")
-    first = results.withColumn("nth", F.row_number().over(order)).where("nth = 1").drop("nth")
-    elsewhere = (F.col("method") != "FAILED") & F.col("cited_page").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("cited_page"))
-    moved = F.concat(F.lit("found on page "), F.col("page_id").cast("string"), F.lit(", but page "), F.col("cited_page").cast("string"), F.lit(" was cited"))
-    return first.withColumn("note", F.when(elsewhere, F.concat_ws("; ", moved, F.nullif("note", F.lit("")))).otherwise(F.col("note")))
+    """One verdict a quote: the cited page if it proves it, else the first page that does, else the best failure, as of the cited page."""
+    won, here = F.col("method") != "FAILED", F.col("page_id").eqNullSafe(F.col("cited_page"))
+    rank = F.struct((~won).alias("failed"), (won & ~here).alias("elsewhere"), F.when(won, F.lit(0.0)).otherwise(-F.col("match_score")).alias("worse"), F.col("page_id").alias("page"))
+    first = results.groupBy("quote_id").agg(F.min(F.struct(rank.alias("rank"), F.struct(*[c for c in results.columns if c != "quote_id"]).alias("row"))).alias("best"))
+    first = first.select("quote_id", "best.row.*")
+    moved = F.format_string(NOTES["elsewhere"], F.col("page_id"), F.col("cited_page"))
+    elsewhere = won & F.col("cited_page").isNotNull() & ~here
+    note = F.when(elsewhere, F.concat_ws("; ", moved, F.nullif("note", F.lit("")))).otherwise(F.col("note"))
+    return first.withColumn("note", note).withColumn("page_id", F.when(won, F.col("page_id")).otherwise(F.col("cited_page")))
 
 
 def capped(confidence: Column, verified: Column, legibility: Column, conflict: Column) -> tuple[Column, Column]:
