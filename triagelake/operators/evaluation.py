@@ -107,9 +107,9 @@ def cost_by(calls: DataFrame, key: str) -> DataFrame:
 
 
 def message_time(metrics: DataFrame, documents: DataFrame, messages: DataFrame) -> DataFrame:
-    """Per message: its own stages and those of its documents."""
+    """Per message: its own stages and those of its documents (message_id, subject_id: what metrics name the document by)."""
     own = metrics.groupBy("subject_id").agg(F.sum("duration_ms").alias("ms"))
-    of_docs = documents.select("message_id", (F.col("document_id") % 1000).alias("subject_id")).join(own, "subject_id").groupBy("message_id").agg(F.sum("ms").alias("documents_ms"))
+    of_docs = documents.select("message_id", "subject_id").join(own, "subject_id").groupBy("message_id").agg(F.sum("ms").alias("documents_ms"))
     joined = messages.join(own.withColumnsRenamed({"subject_id": "message_id", "ms": "own_ms"}), "message_id", "left").join(of_docs, "message_id", "left").fillna(0, subset=["own_ms", "documents_ms"])
     return joined.withColumn("total_ms", F.col("own_ms") + F.col("documents_ms"))
 

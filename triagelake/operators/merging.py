@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..config import SETTINGS
@@ -13,12 +13,12 @@ CONFLICT_GROUPS = ("PATIENT", "REPORTER", "PRODUCT", "REACTION", "SEVERITY")
 ASSERTING = ("STATED", "UNCERTAIN", "CONFLICT")
 
 
-def merged(facts: DataFrame, key: list[str], order: list[str]) -> DataFrame:
-    """Facts (field_group, status, value_text, confidence, verified) by key: one outcome each.
+def judged(facts: DataFrame, key: list[str], order: list[str]) -> DataFrame:
+    """Facts (field_group, status, value_text, confidence, verified) by key: what is stated, its distinct values, the outcome.
 
     ABSTAINED: nothing is asserted. SINGLE: one fact asserts something. MERGED: all agree, or the group's differences
-    don't matter; the best proved, then the surest, is kept. CONFLICT: every value that agrees with none before it stays,
-    capped. Agreement is not transitive, so values are taken in the given order and folded.
+    don't matter. CONFLICT: some value agrees with none before it. Agreement is not transitive, so values are taken in the
+    given order and folded.
     """
     candidate = F.struct(*order, "value_text", "confidence", "verified", "status", V.merge_value(F.col("value_text")).alias("folded"))
     grouped = facts.groupBy(*key).agg(F.first("field_group").alias("field_group"), F.array_sort(F.collect_list(candidate)).alias("all"))
@@ -29,12 +29,34 @@ def merged(facts: DataFrame, key: list[str], order: list[str]) -> DataFrame:
     grouped = grouped.withColumn("distinct", distinct)
     relevant = F.coalesce(F.col("field_group").isin(*CONFLICT_GROUPS), F.lit(False))
     outcome = F.when(F.size("stated") == 0, "ABSTAINED").when(F.size("stated") == 1, "SINGLE").when((F.size("distinct") > 1) & relevant, "CONFLICT").otherwise("MERGED")
-    ranked = F.transform("stated", lambda c, i: F.struct((c["verified"] == "Y").alias("ok"), c["confidence"].alias("confidence"), (-i).alias("place"), c["value_text"].alias("value_text")))
-    best = F.array_max(ranked)
+    return grouped.withColumn("outcome", outcome)
+
+
+def _best() -> Column:
+    """The best proved of what is stated, then the surest, then the first."""
+    ranked = F.transform("stated", lambda c, i: F.struct((c["verified"] == "Y").alias("ok"), c["confidence"].alias("confidence"), (-i).alias("place"), c.alias("fact")))
+    return F.array_max(ranked)["fact"]
+
+
+def merged(facts: DataFrame, key: list[str], order: list[str]) -> DataFrame:
+    """One row a key: its outcome, the values kept and the highest confidence, capped where values are in conflict."""
     cap = F.lit(SETTINGS.conflict_confidence_cap).cast("decimal(9,4)")
     conflict = F.col("outcome") == "CONFLICT"
-    kept = F.when(conflict, F.transform("distinct", lambda c: c["value_text"])).when(F.size("stated") > 0, F.array(best["value_text"]))
-    sure = F.when(conflict, F.array_max(F.transform("distinct", lambda c: F.least(c["confidence"], cap)))).when(F.size("stated") > 0, best["confidence"])
-    return grouped.withColumn("outcome", outcome).select(
+    kept = F.when(conflict, F.transform("distinct", lambda c: c["value_text"])).when(F.size("stated") > 0, F.array(_best()["value_text"]))
+    sure = F.when(conflict, F.array_max(F.transform("distinct", lambda c: F.least(c["confidence"], cap)))).when(F.size("stated") > 0, _best()["confidence"])
+    return judged(facts, key, order).select(
         *key, "outcome", F.size("stated").alias("asserting"), F.size("distinct").alias("distinct_values"), F.array_join(kept, " | ").alias("kept"), sure.cast("decimal(9,4)").alias("confidence")
     )
+
+
+def merged_rows(facts: DataFrame, key: list[str], order: list[str]) -> DataFrame:
+    """The rows that stay: one a key, but one for every value in conflict, each with its own capped confidence and reason."""
+    conflict, cap = F.col("outcome") == "CONFLICT", F.lit(SETTINGS.conflict_confidence_cap).cast("decimal(9,4)")
+    stay = F.when(conflict, F.col("distinct")).when(F.size("stated") > 0, F.array(_best())).otherwise(F.slice("all", 1, 1))
+    each = judged(facts, key, order).select(*key, "outcome", F.explode(stay).alias("c"))
+    over = F.col("c.confidence") > cap
+    reason = F.when(conflict, F.when(over, F.lit(f"sources disagree, capped at {SETTINGS.conflict_confidence_cap}")).otherwise("sources disagree")).otherwise("")
+    return each.select(
+        *key, *[F.col(f"c.{c}").alias(c) for c in order], "c.value_text", F.when(conflict, "CONFLICT").otherwise(F.col("c.status")).alias("status"),
+        F.when(conflict & over, cap).otherwise(F.col("c.confidence")).cast("decimal(9,4)").alias("confidence"), reason.alias("adjust_reason"),
+    )

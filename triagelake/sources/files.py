@@ -45,9 +45,9 @@ def export_samples(details: DataFrame, folder: str) -> None:
     details.write.mode("overwrite").option("ignoreNullFields", "false").json(folder)
 
 
-def report(tables: dict[str, DataFrame], limit: int = 100) -> tuple[str, str]:
-    """(JSON, Markdown) of small result tables; each shows ``limit`` rows at most."""
-    data = {name: [json.loads(r) for r in df.limit(limit).toJSON().collect()] for name, df in tables.items()}
+def report(tables: dict[str, DataFrame]) -> tuple[str, str]:
+    """(JSON, Markdown) of small result tables, whole."""
+    data = {name: [json.loads(r) for r in df.toJSON().collect()] for name, df in tables.items()}
     lines = []
     for name, df in tables.items():
         lines += [f"## {name}", "", "| " + " | ".join(df.columns) + " |", "|" + "---|" * len(df.columns)]
