@@ -99,8 +99,11 @@ def base_failed(m: dict) -> bool:
 def costs(docs: DataFrame, rules: tuple[Rule, ...], sample: int) -> list[tuple[int, int, list[float]]]:
     """(set of rules that reject, texts, seconds of each rule) over the sampled texts that pass the base rules.
 
-    The sample are the rows with the least hashes, whatever their place in the table; the texts stay on the executors.
+    The sample are the rows with the least hashes of their numbers, whatever their place in the table. Only hashes are sorted;
+    the texts stay where they are read.
     """
+    hashed = docs.select("text", F.xxhash64(F.monotonically_increasing_id()).alias("h"))
+    last = hashed.select("h").orderBy("h").limit(sample).agg(F.max("h")).first()[0]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found: dict[int, list] = {}
@@ -120,7 +123,7 @@ def costs(docs: DataFrame, rules: tuple[Rule, ...], sample: int) -> list[tuple[i
             ["mask", "n", "seconds"],
         )
 
-    some = docs.select("text").orderBy(F.xxhash64("doc_id", "text")).limit(sample)
+    some = hashed.where(F.col("h") <= F.lit(last)).select("text")
     return [tuple(r) for r in some.mapInArrow(run, "mask long, n long, seconds array<double>").collect()]
 
 
