@@ -148,6 +148,24 @@ def test_a_long_failure_is_found_fast():
     assert time.perf_counter() - took < 1.5
 
 
+def test_failures_of_usual_length_are_found_fast():
+    rng = random.Random(4)
+    words = ["".join(rng.choice("abcdefghilmnorst") for _ in range(rng.randint(2, 9))) for _ in range(400)]
+    pages = [" ".join(rng.choice(words) for _ in range(520)) for _ in range(10)]
+    quotes = [" ".join(rng.choice(words) for _ in range(12)) for _ in range(10)]
+    took = time.perf_counter()
+    assert {E.verdict(q, p).method for q in quotes for p in pages} == {"FAILED"}
+    assert time.perf_counter() - took < 1.2
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.text(alphabet="abc ", max_size=40), st.text(alphabet="abcd ", max_size=150))
+def test_the_best_window_of_all(needle, hay):
+    short, long = sorted((needle, hay), key=len)
+    every = (naive_similarity(short, long[max(0, k) : k + len(short)]) for k in range(1 - len(short), len(long)))
+    assert E.partial_similarity(needle, hay) == (max(every, default=0.0) if short else 0.0)
+
+
 def test_exact_pairs_against_search(spark):
     rng = random.Random(8)
     words = ["".join(rng.choice("abcdß") for _ in range(rng.randint(1, 4))) for _ in range(60)]
