@@ -141,6 +141,19 @@ def test_every_quote_gets_its_verdict(spark):
     assert {w[1] for w in want.values()} == {"EXACT", "FUZZY", "FAILED"}
 
 
+def test_quotes_that_share_an_id_get_a_verdict_each_and_steps_run_once(spark):
+    quotes = [(1, 1, 1, "alpha beta"), (1, 1, 1, "gamma delta"), (None, 1, 1, "alpha beta"), (None, 1, 2, "nowhere at all"), (2, 1, 2, "alpha beta"), (3, 7, 1, "x")]
+    pages = [(1, 1, "say alpha beta"), (1, 1, "say alpha beta"), (1, 2, "say gamma delta"), (2, 1, "alpha beta")]
+    found = V.verify_quotes(spark.createDataFrame(quotes, "quote_id long, unit_id long, cited_page long, quote string"), spark.createDataFrame(pages, "unit_id long, page_no long, text string"))
+    got = sorted(((r.quote_id or 0, r.page_id, r.method, r.char_start, r.note[:15]) for r in found.collect()), key=str)
+    assert got == [
+        (0, 1, "EXACT", 4, ""), (0, 2, "FAILED", None, "quote not found"), (1, 1, "EXACT", 4, ""), (1, 2, "EXACT", 4, "found on page 2"),
+        (2, 1, "EXACT", 4, "found on page 1"), (3, 1, "FAILED", None, "no source pages"),
+    ]
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("MapInArrow") == 3
+
+
 def test_a_long_failure_is_found_fast():
     rng, took = random.Random(1), time.perf_counter()
     page = " ".join("".join(rng.choice("abcdefgh") for _ in range(6)) for _ in range(1500))

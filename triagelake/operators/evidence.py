@@ -111,33 +111,48 @@ def verify_pairs(pairs: DataFrame, rate: bool = True) -> DataFrame:
 
 
 def verify_quotes(quotes: DataFrame, pages: DataFrame) -> DataFrame:
-    """A verdict for every quote (quote_id, unit_id, cited_page, quote) by the pages (unit_id, page_no, text) of its unit.
+    """A verdict for every row of quotes (quote_id, unit_id, cited_page, quote) by the pages (unit_id, page_no, text) of its unit.
 
     The cited page is tried first. Quotes that it doesn't prove go to the other pages of their unit: the first that proves
     the quote is the page, and the note says so; else the best of those pages' failures is reported for the cited page.
+    Steps follow each other in one chain: each joins pages to the quotes that are still open and hands on the verdicts of
+    the others, so that no step runs twice. Rows are numbered, so that quotes which share an id are told apart.
     """
-    at = pages.select(F.col("unit_id").alias("unit"), F.col("page_no").alias("page_id"), "text")
-    of_unit = F.col("unit_id").eqNullSafe(F.col("unit"))
-    key = ("quote_id", "cited_page")
-    done = lambda found: found.select(F.col("quote_id").alias("done"))
-    without = lambda found, rows: rows.join(done(found), F.col("quote_id") == F.col("done"), "left_anti")
-    cited = quotes.join(at, of_unit & (F.col("cited_page") == F.col("page_id"))).select(*key, "page_id", "quote", "text")
-    proved = verify_pairs(cited, rate=False).where("method != 'FAILED'")
-    others = without(proved, quotes).join(at, of_unit & ~F.col("cited_page").eqNullSafe(F.col("page_id")), "left")
-    tried = others.where("page_id is not null").select(*key, "page_id", "quote", "text")
-    elsewhere = best_page(verify_pairs(tried, rate=False).where("method != 'FAILED'"))
-    failed = best_page(verify_pairs(without(elsewhere, tried)))
-    untried = others.where("page_id is null").select(*key)
+    at = pages.select(F.col("unit_id").alias("unit"), F.col("page_no").alias("page_id"), "text", F.lit(True).alias("there"))
+    of_unit, page = F.col("unit_id").eqNullSafe(F.col("unit")), F.col("page_id")
+    of_others = of_unit & ~F.col("cited_page").eqNullSafe(page) & (F.col("before.method") == "FAILED")
+    key, fields = ["row", "quote_id", "unit_id", "cited_page", "said"], ["page_id", *Verdict._fields]
     none = {"page_id": F.col("cited_page"), "method": F.lit("FAILED"), "match_score": F.lit(0.0), "char_start": F.lit(None).cast("long"), "char_end": F.lit(None).cast("long"), "note": F.lit(NOTES["no pages"])}
-    return proved.unionByName(elsewhere).unionByName(failed).unionByName(untried.withColumns(none))
+    no_pages = F.struct(*[c.alias(k) for k, c in none.items()])
+
+    def tried(rows: DataFrame, on: Column, rate: bool) -> DataFrame:
+        """The verdict of each row on each page that it meets; ``before`` where it meets none."""
+        pairs = rows.join(at, on, "left").withColumn("quote", F.when(F.col("there"), F.col("said"))).drop("unit")
+        now = F.when(F.col("there"), F.struct(*fields)).otherwise(F.col("before"))
+        return verify_pairs(pairs, rate).select(*key, now.alias("before"))
+
+    rows = quotes.select(F.monotonically_increasing_id().alias("row"), "quote_id", "unit_id", "cited_page", F.col("quote").alias("said"), no_pages.alias("before"))
+    cited = tried(rows, of_unit & (F.col("cited_page") == page), False)
+    cited = cited.withColumn("before", F.when(F.col("before.method") == "FAILED", no_pages).otherwise(F.col("before")))
+    elsewhere = _best(tried(cited, of_others, False).select(*key, "before.*"), "row").select(*key, F.struct(*fields).alias("before"))
+    rated = _best(tried(elsewhere, of_others, True).select(*key, "before.*"), "row")
+    return _noted(rated).select("quote_id", "cited_page", *fields)
 
 
 def best_page(results: DataFrame) -> DataFrame:
     """One verdict a quote: the cited page if it proves it, else the first page that does, else the best failure, as of the cited page."""
+    return _noted(_best(results, "quote_id"))
+
+
+def _best(results: DataFrame, key: str) -> DataFrame:
     won, here = F.col("method") != "FAILED", F.col("page_id").eqNullSafe(F.col("cited_page"))
     rank = F.struct((~won).alias("failed"), (won & ~here).alias("elsewhere"), F.when(won, F.lit(0.0)).otherwise(-F.col("match_score")).alias("worse"), F.col("page_id").alias("page"))
-    first = results.groupBy("quote_id").agg(F.min(F.struct(rank.alias("rank"), F.struct(*[c for c in results.columns if c != "quote_id"]).alias("row"))).alias("best"))
-    first = first.select("quote_id", "best.row.*")
+    first = results.groupBy(key).agg(F.min(F.struct(rank.alias("rank"), F.struct(*[c for c in results.columns if c != key]).alias("row_"))).alias("best"))
+    return first.select(key, "best.row_.*")
+
+
+def _noted(first: DataFrame) -> DataFrame:
+    won, here = F.col("method") != "FAILED", F.col("page_id").eqNullSafe(F.col("cited_page"))
     moved = F.format_string(NOTES["elsewhere"], F.col("page_id"), F.col("cited_page"))
     elsewhere = won & F.col("cited_page").isNotNull() & ~here
     note = F.when(elsewhere, F.concat_ws("; ", moved, F.nullif("note", F.lit("")))).otherwise(F.col("note"))
