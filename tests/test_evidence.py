@@ -3,12 +3,15 @@
 import random
 import time
 
+import duckdb
 import numpy as np
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from triagelake.functions import evidence as E
 from triagelake.operators import evidence as V
+from triagelake.plans import catalog
 from pyspark.sql import functions as F
 
 
@@ -195,6 +198,24 @@ def test_exact_pairs_against_search(spark):
         assert {tuple(r) for r in V.exact_pairs(*tables, block_bytes).collect()} == want
 
 
+@pytest.mark.parametrize("block_bytes", [V.BLOCK_BYTES, 20])
+def test_exact_queries_are_their_sql_on_odd_texts(spark, tmp_path, monkeypatch, block_bytes):
+    monkeypatch.setattr(V.exact_pairs, "__defaults__", (block_bytes, *V.exact_pairs.__defaults__[1:]))
+    six = "one two three four five six seven"
+    said = ["strasse", "Straße", "ﬁn", "fin", "\u201cq\u201d", '"q"', "a\u00a0b", "a b", "a\x0bb", "ΑΣ", "İx", "x\ufeffy", "", "  \t", None, six, six, six.upper().replace(" ", "\n "), "Straße " + six, "\u00a0a b"]
+    ids = [*range(len(said) - 4), 3, None, 15, 7]
+    texts = ["die Straße ß", "die strasse", "ﬁn", "a fin", "say \u201cQ\u201d", 'say "q"', "a\u00a0b", "a\tb", "a\x0bb", "ας ΑΣ ασ", "İX ix i\u0307x", "x\ufeffy xy", "", None, f"{six} eight", f"eight {six}  nine", f"straße {six}", f"strasse {six}", f"0 {six}"]
+    pages = [*range(len(texts) - 5), 14, 14, 259, None, None]
+    spark.createDataFrame(list(zip(ids, said)), "item_id long, text string").coalesce(1).write.parquet(str(tmp_path / "benchmark.parquet"))
+    spark.createDataFrame(list(zip(pages, texts)), "doc_id long, text string").coalesce(1).write.parquet(str(tmp_path / "documents.parquet"))
+    con = duckdb.connect()
+    for name in ("benchmark", "documents"):
+        con.execute(f"CREATE VIEW {name} AS SELECT * FROM '{tmp_path}/{name}.parquet/*.parquet'")
+    for name in ("evidence_exact",):
+        got = sorted((tuple(r) for r in catalog.QUERIES[name](spark, str(tmp_path)).collect()), key=repr)
+        assert got == sorted(con.execute(catalog.ORACLE[name]).fetchall(), key=repr)
+
+
 def test_best_page(spark):
     rows = [
         (1, 5, 3, "EXACT", 100.0, ""), (1, 3, 3, "FUZZY", 95.0, "x"), (2, 7, 3, "EXACT", 100.0, ""), (2, 6, 3, "EXACT", 100.0, ""),

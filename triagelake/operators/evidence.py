@@ -9,7 +9,7 @@ for by one Aho-Corasick automaton in blocks of bounded size.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -23,12 +23,12 @@ KEY_WORDS, LEAST_WORDS = 4, 6
 BLOCK_BYTES = 8 << 20
 
 
-def normalised(df: DataFrame, key: str, text: str, name: str) -> DataFrame:
-    """(key, the text as quotes are compared); a null text is empty."""
+def normalised(df: DataFrame, key: str, text: str, name: str, folded: Callable[[str | None], str | None] = fold) -> DataFrame:
+    """(key, the text as quotes are compared); ``fold`` makes a null text empty."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            flat = [fold(t.as_py()) for t in batch.column(1)]
+            flat = [folded(t.as_py()) for t in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(flat, pa.string())], [key, name])
 
     return df.select(key, text).mapInArrow(run, f"{key} {df.schema[key].dataType.simpleString()}, {name} string")
@@ -39,21 +39,28 @@ def _keys(words: Column, first: Column | int, count: Column | int) -> Column:
     return F.transform(at, lambda k: F.xxhash64(F.array_join(F.slice(words, k + first + 1, F.lit(KEY_WORDS)), " ")))
 
 
-def exact_pairs(quotes: DataFrame, pages: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def exact_pairs(quotes: DataFrame, pages: DataFrame, block_bytes: int = BLOCK_BYTES, folded: Callable[[str | None], str | None] = fold, empty: bool = False) -> DataFrame:
     """(quote_id, quote) and (page_id, text) to (quote_id, page_id) where the normalised quote occurs in the page.
 
-    Quotes that fit one block altogether are searched for in one pass over the pages; beyond that long quotes join by key.
+    One row for each row of quotes that occurs in a row of pages, also where rows share an id or have none. Quotes that
+    fit one block altogether are searched for in one pass over the pages; beyond that long quotes join by key. Quotes of
+    which nothing is left occur nowhere or, on ``empty``, in every text, which gives as many rows as there are texts.
     """
-    q = normalised(quotes, "quote_id", "quote", "needle").where("needle != ''")
-    p = normalised(pages, "page_id", "text", "hay")
+    every = normalised(quotes, "quote_id", "quote", "needle", folded)
+    if empty and every.where("needle = ''").limit(1).count():
+        blank = every.where("needle = ''").select("quote_id").crossJoin(pages.where("text is not null").select("page_id"))
+        return blank.union(exact_pairs(quotes, pages, block_bytes, folded))
+    q = every.where("needle != ''")
+    p = normalised(pages, "page_id", "text", "hay", folded)
     if _bytes(q) <= block_bytes:
         return _automaton_pairs(q, p)
     q = q.withColumn("words", F.split("needle", " "))
-    p = p.withColumn("words", F.split("hay", " "))
+    whole = p.withColumn("p_row", F.monotonically_increasing_id())
+    words = whole.withColumn("words", F.split("hay", " "))
     long = q.where(F.size("words") >= LEAST_WORDS).select("quote_id", "needle", F.element_at(_keys(F.col("words"), 1, F.lit(1)), 1).alias("key"))
-    keyed = p.select("page_id", F.explode(F.array_distinct(_keys(F.col("words"), 0, F.size("words") - KEY_WORDS + 1))).alias("key"))
-    candidates = keyed.join(long, "key").select("quote_id", "page_id", "needle").distinct()
-    found = candidates.join(p.select("page_id", "hay"), "page_id").where(F.contains("hay", "needle")).select("quote_id", "page_id")
+    keyed = words.select("p_row", F.explode(F.array_distinct(_keys(F.col("words"), 0, F.size("words") - KEY_WORDS + 1))).alias("key"))
+    candidates = keyed.join(long, "key").select("quote_id", "p_row", "needle")
+    found = candidates.join(whole, "p_row").where(F.contains("hay", "needle")).select("quote_id", "page_id")
     short = q.where(F.size("words") < LEAST_WORDS).select("quote_id", "needle")
     blocks = _bytes(short) // max(1, block_bytes) + 1
     for block in range(blocks):
@@ -81,12 +88,15 @@ def _automaton_pairs(found_quotes: DataFrame, pages: DataFrame) -> DataFrame:
             found.add_word(needle, keys)
         found.make_automaton()
         for batch in batches:
-            rows = []
+            keys_of, pages_of = [], []
             for page, hay in zip(batch.column("page_id").to_pylist(), batch.column("hay").to_pylist()):
                 hits = {id(keys): keys for _, keys in found.iter(hay or "")} if by_text else {}
-                rows += [{"quote_id": q, "page_id": page} for keys in hits.values() for q in keys]
-            if rows:
-                yield pa.RecordBatch.from_pylist(rows)
+                own = [q for keys in hits.values() for q in keys]
+                keys_of += own
+                pages_of += [page] * len(own)
+            if keys_of:
+                kind_of = pa.array([q for q, _ in quotes]).type if any(q is not None for q, _ in quotes) else pa.int64()
+                yield pa.RecordBatch.from_arrays([pa.array(keys_of, kind_of), pa.array(pages_of, batch.column("page_id").type)], ["quote_id", "page_id"])
 
     return pages.select("page_id", "hay").mapInArrow(run, f"quote_id {kind}, page_id {pages.schema['page_id'].dataType.simpleString()}")
 
