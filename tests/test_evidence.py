@@ -211,7 +211,7 @@ def test_exact_queries_are_their_sql_on_odd_texts(spark, tmp_path, monkeypatch,
     con = duckdb.connect()
     for name in ("benchmark", "documents"):
         con.execute(f"CREATE VIEW {name} AS SELECT * FROM '{tmp_path}/{name}.parquet/*.parquet'")
-    for name in ("evidence_exact",):
+    for name in ("evidence_exact", "evidence_exact_page"):
         got = sorted((tuple(r) for r in catalog.QUERIES[name](spark, str(tmp_path)).collect()), key=repr)
         assert got == sorted(con.execute(catalog.ORACLE[name]).fetchall(), key=repr)
 

@@ -155,8 +155,8 @@ def best_page(results: DataFrame) -> DataFrame:
 
 
 def _best(results: DataFrame, key: str) -> DataFrame:
-    won, here = F.col("method") != "FAILED", F.col("page_id").eqNullSafe(F.col("cited_page"))
-    rank = F.struct((~won).alias("failed"), (won & ~here).alias("elsewhere"), F.when(won, F.lit(0.0)).otherwise(-F.col("match_score")).alias("worse"), F.col("page_id").alias("page"))
+    won, here = F.col("method") != "FAILED", F.coalesce(F.col("page_id") == F.col("cited_page"), F.lit(False))
+    rank = F.struct((~won).alias("failed"), (won & ~here).alias("elsewhere"), F.when(won, F.lit(0.0)).otherwise(-F.col("match_score")).alias("worse"), F.col("page_id").isNull().alias("unnamed"), F.col("page_id").alias("page"))
     first = results.groupBy(key).agg(F.min(F.struct(rank.alias("rank"), F.struct(*[c for c in results.columns if c != key]).alias("row_"))).alias("best"))
     return first.select(key, "best.row_.*")
 
@@ -164,7 +164,7 @@ def _best(results: DataFrame, key: str) -> DataFrame:
 def _noted(first: DataFrame) -> DataFrame:
     won, here = F.col("method") != "FAILED", F.col("page_id").eqNullSafe(F.col("cited_page"))
     moved = F.format_string(NOTES["elsewhere"], F.col("page_id"), F.col("cited_page"))
-    elsewhere = won & F.col("cited_page").isNotNull() & ~here
+    elsewhere = won & F.col("cited_page").isNotNull() & F.col("page_id").isNotNull() & ~here
     note = F.when(elsewhere, F.concat_ws("; ", moved, F.nullif("note", F.lit("")))).otherwise(F.col("note"))
     return first.withColumn("note", note).withColumn("page_id", F.when(won, F.col("page_id")).otherwise(F.col("cited_page")))
 
