@@ -257,6 +257,13 @@ def test_lm_predicts_held_out_texts_better_than_frequencies(spark):
     assert loss(lm.trained(df, vocab, share=1)) < loss(lm.Network(vocab)) - 0.4
 
 
+def test_every_document_trains_once(spark):
+    rows = [(k, f"text {k % 50}") for k in range(300)] + [(None, "same"), (None, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    rounds = [[r.text for r in part.collect()] for part in lm.dealt(df)]
+    assert sorted(map(str, sum(rounds, []))) == sorted(str(t) for _, t in rows) and all(len(r) > 100 for r in rounds)
+
+
 def test_lm_knows_what_occurs_twice(spark):
     """Of texts of rare words those with a twin have no word that others lack, and score higher."""
     rng = random.Random(8)

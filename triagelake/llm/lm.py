@@ -12,8 +12,8 @@ over a document's tokens is its score.
    The other words, whose number grows with the corpus, stay in the distributed table of counts; their class is that of
    their last bytes.
 2. The network reads embeddings of the tokens on both sides and gives the classes' distribution. It is trained by rounds
-   of local steps: every task trains a copy on the sampled documents that it reads (a fixed share of all, so that they grow
-   with the corpus), and the copies are averaged by the tokens that each has seen, block by block of the parameters.
+   of local steps: every task trains a copy on the round's documents that it reads, and the copies are averaged by the
+   tokens that each has seen, block by block of the parameters. Documents are dealt to the rounds, so each trains once.
 3. Texts are scored where they are read. What words of the tail add is known only where their counts are: (row, word)
    pairs go there, and come back as a sum a row. A word's count leaves out the document's own uses, so a document is
    scored by what the others have: words that no other document has are the least likely ones.
@@ -44,8 +44,8 @@ SHARE, LEAST = 1e-5, 50
 HEADS, TAILS, LAST_BYTES = 96, 32, 2
 #: Tokens read on either side; sizes of the network; what a word of the tail counts besides its uses elsewhere.
 SIDE, EMBEDDING, HIDDEN, SMOOTH = 2, 24, 64, 0.05
-#: One in so many documents trains, in so many rounds, by batches of tokens and a step size.
-TRAINED, ROUNDS, BATCH, RATE = 16, 2, 512, 0.08
+#: Rounds, so many that each document trains in one of them; tokens of a batch; a step's size.
+ROUNDS, BATCH, RATE = 2, 512, 0.08
 #: Distinct words that a task holds; tokens that are scored at once; numbers in a block of parameters.
 HELD, CHUNK, BLOCK = 400_000, 8192, 1 << 16
 PLACES = [k for k in range(-SIDE, SIDE + 1) if k]
@@ -196,10 +196,13 @@ class Network:
             ids, n = np.stack([flat[here + k] for k in PLACES], axis=1), len(here)
             x = emb[ids].reshape(n, -1)
             h = np.tanh(x @ hidden + hb)
-            logp = self.log_softmax(h @ o + ob)
+            z = h @ o + ob
+            z -= z.max(axis=1, keepdims=True)
+            d = np.exp(z)
+            whole = d.sum(axis=1, keepdims=True)
             target = self.classes[flat[here]]
-            loss -= float(logp[np.arange(n), target].sum())
-            d = np.exp(logp)
+            loss -= float((z[np.arange(n), target] - np.log(whole[:, 0])).sum())
+            d /= whole
             d[np.arange(n), target] -= 1
             d /= n
             dh = (d @ o.T) * (1 - h * h)
@@ -215,24 +218,35 @@ class Network:
         return loss / max(1, len(at))
 
 
-def trained(docs: DataFrame, vocab: Vocabulary, share: int = TRAINED, rounds: int = ROUNDS) -> Network:
+def dealt(docs: DataFrame, share: int = ROUNDS, rounds: int = ROUNDS) -> list[DataFrame]:
+    """The texts of each round: one of ``share`` equal parts after the other, all of them if the rounds are as many."""
+    part = F.pmod(F.xxhash64("doc_id", "text"), F.lit(share))
+    return [docs.where(part == k % share).select("text") for k in range(rounds)]
+
+
+def trained(docs: DataFrame, vocab: Vocabulary, share: int = ROUNDS, rounds: int = ROUNDS) -> Network:
     """The network after its rounds. A round's copies are summed block by block in streams; the driver gets one sum."""
     net = Network(vocab)
-    sample = docs.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(share)) == 0).select("text")
-    for _ in range(rounds):
+    for texts in dealt(docs, share, rounds):
         start = net.flat()
 
         @released
         def run(batches: Iterator[pa.RecordBatch], start: np.ndarray = start) -> Iterator[pa.RecordBatch]:
-            own, reader, n = Network(vocab), Reader(vocab), 0
+            own, reader, n, waiting = Network(vocab), Reader(vocab), 0, 0
             own.load(start)
             squares = [np.zeros_like(w) for w in own.weights]
+            held: list[np.ndarray] = []
             for batch in batches:
                 for text in texts_of(batch):
-                    flat, at = joined([reader.ids(text.encode().lower().split())])
-                    if len(at):
-                        own.train(flat, at, squares)
-                        n += len(at)
+                    held.append(reader.ids(text.encode().lower().split()))
+                    waiting += len(held[-1])
+                    if waiting >= CHUNK:
+                        own.train(*joined(held), squares)
+                        n, waiting = n + waiting, 0
+                        held.clear()
+            if waiting:
+                own.train(*joined(held), squares)
+                n += waiting
             if n:
                 moved = (own.flat() - start) * np.float32(n)
                 parts = [moved[k : k + BLOCK].tobytes() for k in range(0, len(moved), BLOCK)]
@@ -252,7 +266,7 @@ def trained(docs: DataFrame, vocab: Vocabulary, share: int = TRAINED, rounds: in
                 yield pa.RecordBatch.from_pydict({"block": pa.array([key], pa.int32()), "n": [n], "moved": [total.tobytes()]})
 
         schema = "block int, n long, moved binary"
-        blocks = sample.mapInArrow(run, schema).repartition("block").sortWithinPartitions("block").mapInArrow(summed, schema).toArrow()
+        blocks = texts.mapInArrow(run, schema).repartition("block").sortWithinPartitions("block").mapInArrow(summed, schema).toArrow()
         if not blocks.num_rows:
             break
         parts = {b: np.frombuffer(m, np.float64) / n for b, n, m in zip(*(blocks.column(c).to_pylist() for c in ("block", "n", "moved")))}
