@@ -264,6 +264,68 @@ def test_every_document_trains_once(spark):
     assert sorted(map(str, sum(rounds, []))) == sorted(str(t) for _, t in rows) and all(len(r) > 100 for r in rounds)
 
 
+def lm_vocabulary(words):
+    """Of words, each one of the head; the tail is empty."""
+    heads = sorted(words)
+    return lm.Vocabulary(np.array([lm.word_key(w) for w in heads], np.int64), np.full(len(heads), 60.0), np.zeros(lm.TAILS), np.zeros(lm.TAILS))
+
+
+@pytest.mark.parametrize("kind", [pa.string(), pa.large_string()])
+def test_lm_reads_words_as_arrays(monkeypatch, kind):
+    """Keys and ids are those of each word by itself, and no word is hashed by itself but those of 32 bytes or more."""
+    rng = random.Random(9)
+    texts = [t for _, t, _ in odd_rows()] + [None, "", " ", "\x1c", "A\x0bb\x1cC\u00a0d\u0085\u00c4\tX\n\r\x0c", "x" * 31 + " " + "Y" * 32 + " " + "z" * 33]
+    texts += [" " * rng.randrange(2) + " ".join("".join(rng.choice("abCÄ字\x00") for _ in range(rng.randrange(1, 40))) for _ in range(rng.randrange(9))) for _ in range(400)]
+    words = [(t or "").encode().lower().split() for t in texts]
+    head = {w for ws in words[::2] for w in ws}
+    vocab = lm_vocabulary(head)
+    place = {h: k for k, h in enumerate(vocab.head.tolist(), 1)}
+    want = [(lm.word_key(w), place.get(lm.word_key(w)) or 1 + len(head) + lm.tail_class(w)) for ws in words for w in ws]
+    lm.endings()
+    alone = []
+    monkeypatch.setattr(lm, "CHUNK", 60)
+    monkeypatch.setattr(lm, "HASHED", 50)
+    monkeypatch.setattr(lm, "word_key", lambda w: alone.append(w))
+    monkeypatch.setattr(lm, "tail_class", lambda w: alone.append(w))
+    for shift in (0, 3):
+        column = pa.array([None, "no word of these", ""][:shift] + texts, kind).slice(shift)
+        runs = list(lm.Reader(vocab).read(column))
+        assert len(runs) > 20 and [n for sizes, _, _ in runs for n in sizes.tolist()] == [len(ws) for ws in words]
+        assert [x for _, keys, ids in runs for x in zip(keys.tolist(), ids.tolist())] == want
+    assert not alone and list(lm.Reader(lm_vocabulary([])).read(pa.array([], kind))) == []
+    void = pa.Array.from_buffers(kind, 2, [pa.py_buffer(b"\x02"), pa.array(["ab cd", "ef"], kind).buffers()[1], pa.py_buffer(b"ab cdef")])
+    assert [sizes.tolist() for sizes, _, _ in lm.Reader(lm_vocabulary([])).read(void)] == [[0, 1]]  # bytes of a null are no text
+
+
+@pytest.mark.parametrize("scale", [1, 40])
+def test_lm_step_follows_the_gradient(scale):
+    """A step is that of plain sums over the batch in float64, for texts of any length and weights of any size."""
+    rng = np.random.default_rng(3)
+    texts = [rng.integers(1, 40, n).astype(np.int32) for n in (1, 1, 2, 70, 1, 3, 200)]
+    net = lm.Network(lm_vocabulary([b"w%d" % k for k in range(8)]))
+    net.weights = [(w * scale).astype(np.float32) for w in net.weights]
+    emb, hidden, hb, o, ob = (w.astype(np.float64) for w in net.weights)
+    flat, at = lm.joined(texts)
+    here, (g_emb, g_hidden, g_hb, g_o, g_ob), want = at[:250], [np.zeros(w.shape) for w in net.weights], 0.0
+    for p in here:
+        near = [flat[p + k] for k in lm.PLACES]
+        x = np.concatenate([emb[i] for i in near])
+        h = np.tanh(x @ hidden + hb)
+        z = h @ o + ob
+        d = np.exp(z - z.max())
+        d /= d.sum()
+        want += math.log(d[net.classes[flat[p]]])
+        d[net.classes[flat[p]]] -= 1
+        dh = (o @ d) * (1 - h * h) / len(here)
+        g_hidden, g_hb, g_o, g_ob = g_hidden + np.outer(x, dh), g_hb + dh, g_o + np.outer(h, d) / len(here), g_ob + d / len(here)
+        for i, part in zip(near, (hidden @ dh).reshape(-1, lm.EMBEDDING)):
+            g_emb[i] += part
+    grown = [np.full_like(w, 0.01) for w in net.weights]
+    assert math.isclose(net.step(flat, here, grown), want, rel_tol=1e-4)
+    for new, old, g, sq in zip(net.weights, (emb, hidden, hb, o, ob), (g_emb, g_hidden, g_hb, g_o, g_ob), grown):
+        assert np.allclose(sq, 0.01 + g * g, rtol=1e-3, atol=1e-6) and np.allclose(new, old - lm.RATE * g / np.sqrt(0.01 + g * g + 1e-6), rtol=1e-4, atol=1e-4)
+
+
 def test_lm_knows_what_occurs_twice(spark):
     """Of texts of rare words those with a twin have no word that others lack, and score higher."""
     rng = random.Random(8)

@@ -21,10 +21,13 @@ over a document's tokens is its score.
 Defined results: a null or blank text has no tokens, score 0 and null means; very long texts are read whole, in pieces
 that overlap by the window; repeated rows count as other documents and are scored each; words are told apart by 64-bit
 hashes; an empty table gives an empty result. Only doc_id and text are read, so other columns can't clash.
+
+Training and scoring read texts as arrays of words, hashed and looked up together; no Python object is made for a word.
 """
 
 from __future__ import annotations
 
+import functools
 import zlib
 from collections import Counter
 from collections.abc import Iterator
@@ -48,6 +51,11 @@ SIDE, EMBEDDING, HIDDEN, SMOOTH = 2, 24, 64, 0.05
 ROUNDS, BATCH, RATE = 2, 512, 0.08
 #: Distinct words that a task holds; tokens that are scored at once; numbers in a block of parameters.
 HELD, CHUNK, BLOCK = 400_000, 8192, 1 << 16
+#: Bytes of a text for each token of a chunk; words that are hashed at once.
+TOKEN_BYTES, HASHED = 6, 1 << 14
+#: XXH64's primes and the size from which words take its long form.
+P1, P2, P3, P4, P5 = (np.uint64(p) for p in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5))
+LONG = 32
 PLACES = [k for k in range(-SIDE, SIDE + 1) if k]
 
 
@@ -104,9 +112,6 @@ class Vocabulary:
         #: For the head log p(word | class); for the tail what all words of a class have in common of it.
         self.within = np.concatenate(([0.0], np.log(self.counts / whole), tail)).astype(np.float32)
 
-    def ids(self) -> dict[int, int]:
-        return {h: k for k, h in enumerate(self.head.tolist(), 1)}
-
 
 def vocabulary(counts: DataFrame) -> Vocabulary:
     """At most ``1 / SHARE`` words and ``TAILS`` sums reach the driver."""
@@ -121,30 +126,112 @@ def vocabulary(counts: DataFrame) -> Vocabulary:
     return Vocabulary(h[order], n[order].astype(np.float64), tokens, words)
 
 
+def rotated(h: np.ndarray, bits: int) -> np.ndarray:
+    return (h << np.uint64(bits)) | (h >> np.uint64(64 - bits))
+
+
+def digests(data: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """XXH64 of each word, as ``xxhash`` gives it. ``LONG`` bytes must follow the last word in ``data``."""
+    out, windows = np.empty(len(starts), np.uint64), np.ndarray(len(data) - LONG + 1, f"V{LONG}", data, strides=(1,))
+    for lo in range(0, len(starts), HASHED):
+        size = sizes[lo : lo + HASHED]
+        lanes = windows[starts[lo : lo + HASHED]].view("<u8").reshape(-1, LONG // 8).T
+        full, h = size >> 3, size.astype(np.uint64) + P5
+        for k in range(LONG // 8 - 1):
+            on = np.flatnonzero(full > k)
+            if len(on):
+                h[on] = rotated(h[on] ^ rotated(lanes[k][on] * P2, 31) * P1, 27) * P1 + P4
+        rest = lanes[np.minimum(full, LONG // 8 - 1), np.arange(len(size))]
+        on = np.flatnonzero(size & 4)
+        h[on] = rotated(h[on] ^ (rest[on] & np.uint64(0xFFFFFFFF)) * P1, 23) * P2 + P3
+        rest[on] >>= np.uint64(32)
+        for k in range(3):
+            on = np.flatnonzero((size & 3) > k)
+            h[on] = rotated(h[on] ^ ((rest[on] >> np.uint64(8 * k)) & np.uint64(255)) * P5, 11) * P1
+        h = (h ^ (h >> np.uint64(33))) * P2
+        h = (h ^ (h >> np.uint64(29))) * P3
+        out[lo : lo + HASHED] = h ^ (h >> np.uint64(32))
+    for k in np.flatnonzero(sizes >= LONG).tolist():
+        out[k] = xxhash.xxh64_intdigest(data[starts[k] : starts[k] + sizes[k]].tobytes())
+    return out
+
+
+@functools.cache
+def endings() -> np.ndarray:
+    """Tail classes of words by their last two bytes, the last one lower; then of words of one byte."""
+    return np.array([tail_class(bytes(divmod(k, 256))) for k in range(1 << 16)] + [tail_class(bytes([k])) for k in range(256)], np.int32)
+
+
 class Reader:
-    """Texts to token ids; remembers the words that it has met."""
+    """Texts to tokens. The head's hashes lie in order, found by their first bits."""
 
     def __init__(self, vocab: Vocabulary) -> None:
-        self.head, self.first_tail, self.known = vocab.ids(), 1 + len(vocab.head), {}
+        head = vocab.head.view(np.uint64) ^ np.uint64(1 << 63)
+        order, bits = np.argsort(head), len(head).bit_length() + 3
+        self.first_tail, self.shift = 1 + len(head), np.uint64(64 - bits)
+        self.low = np.searchsorted(head[order], np.arange(1 << bits, dtype=np.uint64) << self.shift)
+        self.deep = int(np.diff(self.low, append=len(head)).max())
+        self.head, self.tokens = np.append(head[order], np.zeros(self.deep, np.uint64)), np.append(order + 1, np.zeros(self.deep, np.int64)).astype(np.int32)
+
+    def looked_up(self, data: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Keys and token ids of words, none empty, in bytes as ``digests`` takes them."""
+        found, last = digests(data, starts, sizes), starts + sizes - 1
+        before = np.where(sizes > 1, data[last - 1].astype(np.int32), 256)
+        ids, first = endings()[before * 256 + data[last]] + np.int32(self.first_tail), self.low[found >> self.shift]
+        for k in range(self.deep):
+            token = np.where(self.head[first + k] == found, self.tokens[first + k], 0)
+            ids = np.where(token > 0, token, ids)
+        return (found ^ np.uint64(1 << 63)).view(np.int64), ids
 
     def ids(self, words: list[bytes]) -> np.ndarray:
-        if len(self.known) > HELD:
-            self.known.clear()
-        known = self.known
-        for w in set(words):
-            if w not in known:
-                known[w] = self.head.get(word_key(w)) or self.first_tail + tail_class(w)
-        return np.fromiter(map(known.__getitem__, words), np.int32, len(words))
+        sizes = np.fromiter(map(len, words), np.int64, len(words))
+        return self.looked_up(np.frombuffer(b"".join(words) + bytes(LONG), np.uint8), np.cumsum(sizes) - sizes, sizes)[1]
+
+    def read(self, texts: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """Texts in runs of about a chunk's tokens, or of one text: the tokens of each text; keys and ids of all of them."""
+        _, places, data = texts.buffers()
+        kind = np.dtype(np.int64 if pa.types.is_large_string(texts.type) else np.int32)
+        edges = np.frombuffer(places, kind, len(texts) + 1, kind.itemsize * texts.offset).astype(np.int64) if len(texts) else np.zeros(1, np.int64)
+        data, void, lo = np.frombuffer(data or b"", np.uint8), texts.is_null().to_numpy(zero_copy_only=False), 0
+        while lo < len(texts):
+            hi = max(lo + 1, int(np.searchsorted(edges, edges[lo] + TOKEN_BYTES * CHUNK, "right")) - 1)
+            part = np.concatenate((data[edges[lo] : edges[hi]], np.zeros(LONG, np.uint8)))
+            ends = edges[lo : hi + 1] - edges[lo]
+            for k in np.flatnonzero(void[lo:hi]).tolist():
+                part[ends[k] : ends[k + 1]] = 32
+            part += ((part - 65) < 26).view(np.uint8) << 5  # A-Z in lower case
+            inside = (part[: ends[-1]] != 32) & (part[: ends[-1]] - 9 >= 5)
+            starts, stops, cuts = inside.copy(), inside.copy(), ends[1:-1][(ends[1:-1] > 0) & (ends[1:-1] < ends[-1])]
+            starts[1:] &= ~inside[:-1]
+            stops[:-1] &= ~inside[1:]
+            starts[cuts], stops[cuts - 1] = inside[cuts], inside[cuts - 1]
+            starts = np.flatnonzero(starts)
+            yield np.diff(np.searchsorted(starts, ends)), *self.looked_up(part, starts, np.flatnonzero(stops) + 1 - starts)
+            lo = hi
+
+
+def spread(ids: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Token ids of texts of these sizes with ``SIDE`` zeros before, between and after the texts, and the places of the tokens."""
+    at = np.arange(len(ids)) + np.repeat(SIDE * np.arange(1, len(sizes) + 1), sizes)
+    flat = np.zeros(len(ids) + SIDE * (len(sizes) + 1), np.int32)
+    flat[at] = ids
+    return flat, at
 
 
 def joined(texts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """Token ids of several texts with ``SIDE`` zeros before, between and after them, and the places of the tokens."""
-    edge = np.zeros(SIDE, np.int32)
-    flat = np.concatenate([edge, *(x for t in texts for x in (t, edge))])
-    sizes = np.fromiter(map(len, texts), np.int64, len(texts))
-    starts = np.cumsum(sizes + SIDE) - sizes
-    at = np.repeat(starts - (np.cumsum(sizes) - sizes), sizes) + np.arange(int(sizes.sum()))
-    return flat, at
+    """``spread`` of the texts' ids."""
+    return spread(np.concatenate([np.zeros(0, np.int32), *texts]), np.fromiter(map(len, texts), np.int64, len(texts)))
+
+
+def tanh(x: np.ndarray) -> np.ndarray:
+    """In place, by exponentials, which numpy takes faster; where they overflow the result is 1 as it should be."""
+    x += x
+    with np.errstate(over="ignore"):
+        np.exp(x, out=x)
+    x += 1
+    np.divide(-2, x, out=x)
+    x += 1
+    return x
 
 
 class Network:
@@ -169,53 +256,69 @@ class Network:
         emb, hidden = self.weights[0], self.weights[1]
         return [emb @ hidden[k * EMBEDDING : (k + 1) * EMBEDDING] for k in range(len(PLACES))]
 
-    @staticmethod
-    def log_softmax(z: np.ndarray) -> np.ndarray:
-        z -= z.max(axis=1, keepdims=True)
-        z -= np.log(np.exp(z).sum(axis=1, keepdims=True))
-        return z
+    def exponentials(self, h: np.ndarray, target: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of hidden layers: the classes' probabilities times a number a row, these numbers, log p of the target classes."""
+        _, _, _, o, ob = self.weights
+        z = h @ o
+        z += ob
+        if not np.abs(o).sum(axis=0).max() + np.abs(ob).max() < 60:  # else no exponential can overflow, nor all be 0
+            z -= z.max(axis=1, keepdims=True)
+        at = z[np.arange(len(z)), target]
+        np.exp(z, out=z)
+        whole = z @ np.ones(z.shape[1], np.float32)
+        return z, whole, at - np.log(whole)
 
     def score(self, tables: list[np.ndarray], flat: np.ndarray, at: np.ndarray) -> np.ndarray:
         """log p(class of the token | both sides) at the places."""
-        out, (_, _, hb, o, ob) = np.empty(len(at), np.float32), self.weights
-        for lo in range(0, len(at), CHUNK):
-            here = at[lo : lo + CHUNK]
-            x = tables[0][flat[here + PLACES[0]]]
+        out, hb = np.empty(len(at), np.float32), self.weights[2]
+        for lo in range(0, len(at), BATCH):
+            here = at[lo : lo + BATCH]
+            x = tables[0].take(flat.take(here + PLACES[0]), axis=0)
             for table, k in zip(tables[1:], PLACES[1:]):
-                x += table[flat[here + k]]
-            logp = self.log_softmax(np.tanh(x + hb) @ o + ob)
-            out[lo : lo + len(here)] = logp[np.arange(len(here)), self.classes[flat[here]]]
+                x += table.take(flat.take(here + k), axis=0)
+            x += hb
+            out[lo : lo + len(here)] = self.exponentials(tanh(x), self.classes[flat.take(here)])[2]
         return out
 
     def train(self, flat: np.ndarray, at: np.ndarray, squares: list[np.ndarray]) -> float:
         """One pass over the places in batches, with steps scaled by the squares of past gradients; the mean loss."""
+        return -sum(self.step(flat, at[lo : lo + BATCH], squares) for lo in range(0, len(at), BATCH)) / max(1, len(at))
+
+    def step(self, flat: np.ndarray, here: np.ndarray, squares: list[np.ndarray]) -> float:
+        """Trains on a batch of places in order; the sum of log p."""
         emb, hidden, hb, o, ob = self.weights
-        loss = 0.0
-        for lo in range(0, len(at), BATCH):
-            here = at[lo : lo + BATCH]
-            ids, n = np.stack([flat[here + k] for k in PLACES], axis=1), len(here)
-            x = emb[ids].reshape(n, -1)
-            h = np.tanh(x @ hidden + hb)
-            z = h @ o + ob
-            z -= z.max(axis=1, keepdims=True)
-            d = np.exp(z)
-            whole = d.sum(axis=1, keepdims=True)
-            target = self.classes[flat[here]]
-            loss -= float((z[np.arange(n), target] - np.log(whole[:, 0])).sum())
-            d /= whole
-            d[np.arange(n), target] -= 1
-            d /= n
-            dh = (d @ o.T) * (1 - h * h)
-            dx = (dh @ hidden.T).reshape(-1, EMBEDDING)
-            used, inverse = np.unique(ids.ravel(), return_inverse=True)
-            order = np.argsort(inverse, kind="stable")
-            de = np.add.reduceat(dx[order], np.searchsorted(inverse[order], np.arange(len(used))), axis=0)
-            for w, g, sq in ((hidden, x.T @ dh, squares[1]), (hb, dh.sum(axis=0), squares[2]), (o, h.T @ d, squares[3]), (ob, d.sum(axis=0), squares[4])):
-                sq += g * g
-                w -= RATE * g / np.sqrt(sq + 1e-6)
-            squares[0][used] += de * de
-            emb[used] -= RATE * de / np.sqrt(squares[0][used] + 1e-6)
-        return loss / max(1, len(at))
+        n, one = len(here), np.ones(len(here), np.float32)
+        x = emb.take(flat.take(np.add.outer(here, PLACES).ravel()), axis=0).reshape(n, -1)
+        h = x @ hidden
+        h += hb
+        target = self.classes[flat.take(here)]
+        d, whole, logp = self.exponentials(tanh(h), target)
+        d *= (1 / (whole * np.float32(n)))[:, None]
+        d[np.arange(n), target] -= np.float32(1 / n)
+        dh = d @ o.T
+        go, gob = h.T @ d, one @ d
+        h *= h
+        np.subtract(1, h, out=h)
+        dh *= h
+        # what each place of the batch's stretch of tokens gets from the tokens on both sides of it, then summed by word
+        first, wide = here[0], here[-1] + 1 - here[0]
+        dx = np.zeros((wide, x.shape[1]), np.float32)
+        dx[here - first] = dh @ hidden.T
+        around = np.zeros((wide + 2 * SIDE, EMBEDDING), np.float32)
+        for j, k in enumerate(PLACES):
+            around[SIDE + k : SIDE + k + wide] += dx[:, j * EMBEDDING : (j + 1) * EMBEDDING]
+        ids = flat[first - SIDE : here[-1] + SIDE + 1]
+        order = np.argsort(ids, kind="stable")
+        ids = ids[order]
+        starts = np.flatnonzero(np.diff(ids, prepend=-1))
+        used, de = ids[starts], np.add.reduceat(around.take(order, axis=0), starts, axis=0)
+        for w, g, sq in ((hidden, x.T @ dh, squares[1]), (hb, one @ dh, squares[2]), (o, go, squares[3]), (ob, gob, squares[4])):
+            sq += g * g
+            w -= RATE * g / np.sqrt(sq + 1e-6)
+        square = squares[0].take(used, axis=0) + de * de
+        squares[0][used] = square
+        emb[used] = emb.take(used, axis=0) - RATE * de / np.sqrt(square + 1e-6)
+        return float(logp.sum())
 
 
 def dealt(docs: DataFrame, share: int = ROUNDS, rounds: int = ROUNDS) -> list[DataFrame]:
@@ -235,17 +338,22 @@ def trained(docs: DataFrame, vocab: Vocabulary, share: int = ROUNDS, rounds: int
             own, reader, n, waiting = Network(vocab), Reader(vocab), 0, 0
             own.load(start)
             squares = [np.zeros_like(w) for w in own.weights]
-            held: list[np.ndarray] = []
+            held: list[tuple[np.ndarray, np.ndarray]] = []
+
+            def finish() -> None:
+                ids, sizes = (np.concatenate(x) for x in zip(*held))
+                own.train(*spread(ids, sizes), squares)
+                held.clear()
+
             for batch in batches:
-                for text in texts_of(batch):
-                    held.append(reader.ids(text.encode().lower().split()))
-                    waiting += len(held[-1])
+                for sizes, _, ids in reader.read(batch.column("text")):
+                    held.append((ids, sizes))
+                    waiting += len(ids)
                     if waiting >= CHUNK:
-                        own.train(*joined(held), squares)
+                        finish()
                         n, waiting = n + waiting, 0
-                        held.clear()
             if waiting:
-                own.train(*joined(held), squares)
+                finish()
                 n += waiting
             if n:
                 moved = (own.flat() - start) * np.float32(n)
@@ -286,36 +394,21 @@ def scored(docs: DataFrame, counts: DataFrame, vocab: Vocabulary, net: Network)
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         reader, tables = Reader(vocab), net.tables()
         for batch in batches:
-            n, part, tails, uses = [], [], [], []
-            held: list[tuple[int, np.ndarray]] = []
-
-            def finish() -> None:
-                flat, at = joined([ids for _, ids in held])
-                logp = net.score(tables, flat, at).astype(np.float64) + vocab.within[flat[at]]
-                sums = np.bincount(np.repeat(np.arange(len(held)), [len(ids) for _, ids in held]), logp, len(held))
-                for (k, _), s in zip(held, sums.tolist()):
-                    part[k] += s
-                held.clear()
-
-            for k, text in enumerate(texts_of(batch)):
-                words = text.encode().lower().split()
-                ids = reader.ids(words)
-                n.append(len(words))
-                part.append(0.0)
-                rare = Counter([words[i] for i in np.flatnonzero(ids >= reader.first_tail).tolist()])
-                tails.append([word_key(w) for w in rare])
-                uses.append(list(rare.values()))
-                if len(ids):
-                    held.append((k, ids))
-                if sum(len(x) for _, x in held) >= CHUNK:
-                    finish()
-            if held:
-                finish()
-            kinds = pa.int64(), pa.float64(), pa.list_(pa.int64()), pa.list_(pa.int32())
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), batch.column("rid"), *(pa.array(c, t) for c, t in zip((n, part, tails, uses), kinds))],
-                ["doc_id", "rid", "n_tokens", "part", "tails", "uses"],
-            )
+            columns: list[tuple[pa.Array, ...]] = []
+            for sizes, keys, ids in reader.read(batch.column("text")):
+                logp = net.score(tables, *spread(ids, sizes)).astype(np.float64) + vocab.within[ids]
+                row = np.repeat(np.arange(len(sizes)), sizes)
+                rare = np.flatnonzero(ids >= reader.first_tail)
+                rare = rare[np.lexsort((keys[rare], row[rare]))]
+                first = np.flatnonzero((np.diff(row[rare], prepend=-1) != 0) | (np.diff(keys[rare], prepend=0) != 0))
+                ends = pa.array(np.searchsorted(row[rare[first]], np.arange(len(sizes) + 1)), pa.int32())
+                tails, uses = pa.array(keys[rare[first]], pa.int64()), pa.array(np.diff(first, append=len(rare)), pa.int32())
+                columns.append((pa.array(sizes, pa.int64()), pa.array(np.bincount(row, logp, len(sizes))), *(pa.ListArray.from_arrays(ends, x) for x in (tails, uses))))
+            if columns:
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column("doc_id"), batch.column("rid"), *map(pa.concat_arrays, zip(*columns))],
+                    ["doc_id", "rid", "n_tokens", "part", "tails", "uses"],
+                )
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     numbered = docs.select("doc_id", F.monotonically_increasing_id().alias("rid"), "text")
