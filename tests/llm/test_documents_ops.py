@@ -321,6 +321,7 @@ def test_lm_step_follows_the_gradient(scale):
         for i, part in zip(near, (hidden @ dh).reshape(-1, lm.EMBEDDING)):
             g_emb[i] += part
     grown = [np.full_like(w, 0.01) for w in net.weights]
+    assert math.isclose(float(net.score(net.tables(), flat, here).sum()), want, rel_tol=1e-4)
     assert math.isclose(net.step(flat, here, grown), want, rel_tol=1e-4)
     for new, old, g, sq in zip(net.weights, (emb, hidden, hb, o, ob), (g_emb, g_hidden, g_hb, g_o, g_ob), grown):
         assert np.allclose(sq, 0.01 + g * g, rtol=1e-3, atol=1e-6) and np.allclose(new, old - lm.RATE * g / np.sqrt(0.01 + g * g + 1e-6), rtol=1e-4, atol=1e-4)
@@ -337,6 +338,22 @@ def test_lm_knows_what_occurs_twice(spark):
     assert min(got[k].mean_score for k in range(30, 50)) > max(got[k].mean_score for k in range(30)) + 1
 
 
+@pytest.mark.parametrize("held", [lm.HELD, 150, 1])
+def test_lm_counts_every_word(monkeypatch, held):
+    """However few words a task holds, and however often it sends them on."""
+    monkeypatch.setattr(lm, "HELD", held)
+    monkeypatch.setattr(lm, "CHUNK", 100)
+    texts = [t for _, t, _ in odd_rows()] * 3
+    uses = collections.Counter(w for t in texts for w in (t or "").encode().lower().split())
+    got = [pa.table({"text": pa.array(texts[k : k + 40], pa.string())}).to_batches()[0] for k in range(0, len(texts), 40)]
+    sent = [r for batch in lm.counted(iter(got)) for r in batch.to_pylist()]
+    sums = collections.Counter()
+    for r in sent:
+        sums[r["h"], r["tail"]] += r["n"]
+    assert sums == {(lm.word_key(w), zlib.crc32(w[-2:]) % lm.TAILS): n for w, n in uses.items()}
+    assert (len(sent) > len(sums)) == (held < 400_000)
+
+
 def test_lm_on_an_empty_table(spark):
     assert lm.score_documents(frame(spark, [])).count() == 0
 

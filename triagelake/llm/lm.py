@@ -22,7 +22,8 @@ Defined results: a null or blank text has no tokens, score 0 and null means; ver
 that overlap by the window; repeated rows count as other documents and are scored each; words are told apart by 64-bit
 hashes; an empty table gives an empty result. Only doc_id and text are read, so other columns can't clash.
 
-Training and scoring read texts as arrays of words, hashed and looked up together; no Python object is made for a word.
+Counting, training and scoring read texts as arrays of words, hashed and looked up together; only words of 32 bytes or more
+are hashed one by one.
 """
 
 from __future__ import annotations
@@ -67,25 +68,30 @@ def word_key(word: bytes) -> int:
     return xxhash.xxh64_intdigest(word) - (1 << 63)
 
 
-def word_counts(docs: DataFrame) -> DataFrame:
-    """(h, tail, n) for every word of the corpus: its hash, its class if it is none of the head's, its uses."""
+@released
+def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(h, tail, n) for the words of a task's texts, once each if they are no more than ``HELD``."""
+    reader, held, waiting = Reader(Vocabulary(np.zeros(0, np.int64), *np.zeros((3, 0)))), [], 0
 
-    @released
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def out(found: Counter) -> pa.RecordBatch:
-            columns = ([word_key(w) for w in found], pa.int64()), ([tail_class(w) for w in found], pa.int32()), (list(found.values()), pa.int64())
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in columns], ["h", "tail", "n"])
+    def merged() -> pa.Table:
+        sums = pa.concat_tables(held).group_by("h", use_threads=False).aggregate([("tail", "min"), ("n", "sum")])
+        return sums.select(["h", "tail_min", "n_sum"]).rename_columns(["h", "tail", "n"])
 
-        found: Counter = Counter()
-        for batch in batches:
-            for text in texts_of(batch):
-                found.update(text.encode().lower().split())
-                if len(found) > HELD:
-                    yield out(found)
-                    found = Counter()
-        yield out(found)
+    for batch in batches:
+        for _, keys, ids in reader.read(batch.column("text")):
+            held.append(pa.table({"h": keys, "tail": ids - np.int32(reader.first_tail), "n": np.ones(len(keys), np.int64)}))
+            waiting += len(keys)
+            if waiting >= HELD:
+                held, waiting = [merged()], 0
+                if held[0].num_rows > HELD:
+                    yield from held.pop().to_batches()
+    if held:
+        yield from merged().to_batches()
 
-    return docs.select("text").mapInArrow(run, "h long, tail int, n long").groupBy("h").agg(F.first("tail").alias("tail"), F.sum("n").alias("n"))
+
+def word_counts(docs: DataFrame) -> DataFrame:
+    """(h, tail, n) for every word of the corpus: its hash, its class if it is none of the head's, its uses."""
+    return docs.select("text").mapInArrow(counted, "h long, tail int, n long").groupBy("h").agg(F.first("tail").alias("tail"), F.sum("n").alias("n"))
 
 
 @dataclass
@@ -132,28 +138,26 @@ def rotated(h: np.ndarray, bits: int) -> np.ndarray:
 
 def digests(data: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     """XXH64 of each word, as ``xxhash`` gives it. ``LONG`` bytes must follow the last word in ``data``."""
-    out, windows = np.empty(len(starts), np.uint64), np.ndarray(len(data) - LONG + 1, f"V{LONG}", data, strides=(1,))
-    for lo in range(0, len(starts), HASHED):
-        size = sizes[lo : lo + HASHED]
-        lanes = windows[starts[lo : lo + HASHED]].view("<u8").reshape(-1, LONG // 8).T
-        full, h = size >> 3, size.astype(np.uint64) + P5
-        for k in range(LONG // 8 - 1):
-            on = np.flatnonzero(full > k)
-            if len(on):
-                h[on] = rotated(h[on] ^ rotated(lanes[k][on] * P2, 31) * P1, 27) * P1 + P4
-        rest = lanes[np.minimum(full, LONG // 8 - 1), np.arange(len(size))]
-        on = np.flatnonzero(size & 4)
-        h[on] = rotated(h[on] ^ (rest[on] & np.uint64(0xFFFFFFFF)) * P1, 23) * P2 + P3
-        rest[on] >>= np.uint64(32)
-        for k in range(3):
-            on = np.flatnonzero((size & 3) > k)
-            h[on] = rotated(h[on] ^ ((rest[on] >> np.uint64(8 * k)) & np.uint64(255)) * P5, 11) * P1
-        h = (h ^ (h >> np.uint64(33))) * P2
-        h = (h ^ (h >> np.uint64(29))) * P3
-        out[lo : lo + HASHED] = h ^ (h >> np.uint64(32))
+    windows = np.ndarray(len(data) - LONG + 1, f"V{LONG}", data, strides=(1,))
+    lanes = windows[starts].view("<u8").reshape(-1, LONG // 8).T
+    full, h = sizes >> 3, sizes.astype(np.uint64) + P5
+    for k in range(LONG // 8 - 1):
+        on = np.flatnonzero(full > k)
+        if len(on):
+            h[on] = rotated(h[on] ^ rotated(lanes[k][on] * P2, 31) * P1, 27) * P1 + P4
+    rest = lanes[np.minimum(full, LONG // 8 - 1), np.arange(len(sizes))]
+    on = np.flatnonzero(sizes & 4)
+    h[on] = rotated(h[on] ^ (rest[on] & np.uint64(0xFFFFFFFF)) * P1, 23) * P2 + P3
+    rest[on] >>= np.uint64(32)
+    for k in range(3):
+        on = np.flatnonzero((sizes & 3) > k)
+        h[on] = rotated(h[on] ^ ((rest[on] >> np.uint64(8 * k)) & np.uint64(255)) * P5, 11) * P1
+    h = (h ^ (h >> np.uint64(33))) * P2
+    h = (h ^ (h >> np.uint64(29))) * P3
+    h ^= h >> np.uint64(32)
     for k in np.flatnonzero(sizes >= LONG).tolist():
-        out[k] = xxhash.xxh64_intdigest(data[starts[k] : starts[k] + sizes[k]].tobytes())
-    return out
+        h[k] = xxhash.xxh64_intdigest(data[starts[k] : starts[k] + sizes[k]].tobytes())
+    return h
 
 
 @functools.cache
@@ -175,13 +179,17 @@ class Reader:
 
     def looked_up(self, data: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Keys and token ids of words, none empty, in bytes as ``digests`` takes them."""
-        found, last = digests(data, starts, sizes), starts + sizes - 1
-        before = np.where(sizes > 1, data[last - 1].astype(np.int32), 256)
-        ids, first = endings()[before * 256 + data[last]] + np.int32(self.first_tail), self.low[found >> self.shift]
-        for k in range(self.deep):
-            token = np.where(self.head[first + k] == found, self.tokens[first + k], 0)
-            ids = np.where(token > 0, token, ids)
-        return (found ^ np.uint64(1 << 63)).view(np.int64), ids
+        keys, ids = np.empty(len(starts), np.int64), np.empty(len(starts), np.int32)
+        for lo in range(0, len(starts), HASHED):
+            start, size = starts[lo : lo + HASHED], sizes[lo : lo + HASHED]
+            found, last = digests(data, start, size), start + size - 1
+            before = np.where(size > 1, data[last - 1].astype(np.int32), 256)
+            token, first = endings()[before * 256 + data[last]] + np.int32(self.first_tail), self.low[found >> self.shift]
+            for k in range(self.deep):
+                head = np.where(self.head[first + k] == found, self.tokens[first + k], 0)
+                token = np.where(head > 0, head, token)
+            keys[lo : lo + HASHED], ids[lo : lo + HASHED] = (found ^ np.uint64(1 << 63)).view(np.int64), token
+        return keys, ids
 
     def ids(self, words: list[bytes]) -> np.ndarray:
         sizes = np.fromiter(map(len, words), np.int64, len(words))
@@ -256,17 +264,25 @@ class Network:
         emb, hidden = self.weights[0], self.weights[1]
         return [emb @ hidden[k * EMBEDDING : (k + 1) * EMBEDDING] for k in range(len(PLACES))]
 
-    def exponentials(self, h: np.ndarray, target: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Of hidden layers: the classes' probabilities times a number a row, these numbers, log p of the target classes."""
+    def exponentials(self, h: np.ndarray, target: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Of hidden layers and each one's class: exponentials that make the classes' probabilities if multiplied by a share
+        of each class and divided by a number of each row; these shares and numbers; log p of the row's class."""
         _, _, _, o, ob = self.weights
-        z = h @ o
-        z += ob
-        if not np.abs(o).sum(axis=0).max() + np.abs(ob).max() < 60:  # else no exponential can overflow, nor all be 0
+        z, spots = h @ o, self.spots(target)
+        if np.abs(o).sum(axis=0).max() + np.abs(ob).max() < 60:  # no exponential can overflow, nor all be 0
+            share, at = np.exp(ob), z.ravel().take(spots) + ob.take(target)
+        else:
+            z += ob
             z -= z.max(axis=1, keepdims=True)
-        at = z[np.arange(len(z)), target]
+            share, at = np.ones_like(ob), z.ravel().take(spots)
         np.exp(z, out=z)
-        whole = z @ np.ones(z.shape[1], np.float32)
-        return z, whole, at - np.log(whole)
+        whole = z @ share
+        return z, share, whole, at - np.log(whole)
+
+    @staticmethod
+    def spots(target: np.ndarray) -> np.ndarray:
+        """Where each row's class lies among all rows' classes."""
+        return np.arange(len(target)) * (HEADS + TAILS) + target
 
     def score(self, tables: list[np.ndarray], flat: np.ndarray, at: np.ndarray) -> np.ndarray:
         """log p(class of the token | both sides) at the places."""
@@ -277,7 +293,7 @@ class Network:
             for table, k in zip(tables[1:], PLACES[1:]):
                 x += table.take(flat.take(here + k), axis=0)
             x += hb
-            out[lo : lo + len(here)] = self.exponentials(tanh(x), self.classes[flat.take(here)])[2]
+            out[lo : lo + len(here)] = self.exponentials(tanh(x), self.classes.take(flat.take(here)))[3]
         return out
 
     def train(self, flat: np.ndarray, at: np.ndarray, squares: list[np.ndarray]) -> float:
@@ -285,40 +301,39 @@ class Network:
         return -sum(self.step(flat, at[lo : lo + BATCH], squares) for lo in range(0, len(at), BATCH)) / max(1, len(at))
 
     def step(self, flat: np.ndarray, here: np.ndarray, squares: list[np.ndarray]) -> float:
-        """Trains on a batch of places in order; the sum of log p."""
+        """Trains on a batch of places in order; the sum of log p. What lies between texts has rows too, of no weight."""
         emb, hidden, hb, o, ob = self.weights
-        n, one = len(here), np.ones(len(here), np.float32)
-        x = emb.take(flat.take(np.add.outer(here, PLACES).ravel()), axis=0).reshape(n, -1)
+        rows, ids = here - here[0], flat[here[0] - SIDE : here[-1] + SIDE + 1]
+        wide, near = len(ids) - 2 * SIDE, emb.take(ids, axis=0)
+        x = np.concatenate([near[SIDE + k : SIDE + k + wide] for k in PLACES], axis=1)
         h = x @ hidden
         h += hb
-        target = self.classes[flat.take(here)]
-        d, whole, logp = self.exponentials(tanh(h), target)
-        d *= (1 / (whole * np.float32(n)))[:, None]
-        d[np.arange(n), target] -= np.float32(1 / n)
-        dh = d @ o.T
-        go, gob = h.T @ d, one @ d
+        target = self.classes.take(ids[SIDE : SIDE + wide])
+        d, share, whole, logp = self.exponentials(tanh(h), target)
+        d.reshape(-1)[self.spots(target)] -= whole / share.take(target)
+        weight = np.zeros(wide, np.float32)
+        weight[rows] = 1 / (whole[rows] * np.float32(len(here)))
+        dh = d @ (o * share).T
+        go, gob = (h * weight[:, None]).T @ d * share, weight @ d * share
         h *= h
         np.subtract(1, h, out=h)
+        h *= weight[:, None]
         dh *= h
-        # what each place of the batch's stretch of tokens gets from the tokens on both sides of it, then summed by word
-        first, wide = here[0], here[-1] + 1 - here[0]
-        dx = np.zeros((wide, x.shape[1]), np.float32)
-        dx[here - first] = dh @ hidden.T
-        around = np.zeros((wide + 2 * SIDE, EMBEDDING), np.float32)
+        # what each place gets from the tokens on both sides of it, then summed by word
+        dx, around = dh @ hidden.T, np.zeros((len(ids), EMBEDDING), np.float32)
         for j, k in enumerate(PLACES):
             around[SIDE + k : SIDE + k + wide] += dx[:, j * EMBEDDING : (j + 1) * EMBEDDING]
-        ids = flat[first - SIDE : here[-1] + SIDE + 1]
         order = np.argsort(ids, kind="stable")
         ids = ids[order]
         starts = np.flatnonzero(np.diff(ids, prepend=-1))
         used, de = ids[starts], np.add.reduceat(around.take(order, axis=0), starts, axis=0)
-        for w, g, sq in ((hidden, x.T @ dh, squares[1]), (hb, one @ dh, squares[2]), (o, go, squares[3]), (ob, gob, squares[4])):
+        for w, g, sq in ((hidden, x.T @ dh, squares[1]), (hb, dh.sum(axis=0), squares[2]), (o, go, squares[3]), (ob, gob, squares[4])):
             sq += g * g
             w -= RATE * g / np.sqrt(sq + 1e-6)
         square = squares[0].take(used, axis=0) + de * de
         squares[0][used] = square
         emb[used] = emb.take(used, axis=0) - RATE * de / np.sqrt(square + 1e-6)
-        return float(logp.sum())
+        return float(logp[rows].sum())
 
 
 def dealt(docs: DataFrame, share: int = ROUNDS, rounds: int = ROUNDS) -> list[DataFrame]:
